@@ -8,7 +8,7 @@ is entered. Sizes are tokens of the encoder, counted once for the whole text.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,9 +49,14 @@ def boundaries(text: str, starts: np.ndarray, clean: np.ndarray) -> list[list[in
     for level, pattern in enumerate(LEVELS):
         found = set()
         for m in pattern.finditer(text):
-            i = bisect_left(at, m.start() if level in OPENS else m.end())
-            while i < n and not clean[i]:
-                i += 1
+            pos = m.start() if level in OPENS else m.end()
+            i = bisect_right(at, pos) - 1  # a token often takes a blank along with the word after it
+            while i >= 0 and not clean[i]:
+                i -= 1
+            if text[at[i] : pos].strip():
+                i = bisect_left(at, pos)
+                while i < n and not clean[i]:
+                    i += 1
             if 0 < i < n:
                 found.add(i)
         out.append(sorted(found))
