@@ -30,28 +30,33 @@ def nelson_aalen(gap_rows: DataFrame, duration: str = "duration", event: str = "
     return risk.withColumn("cumulative", F.sum(F.col("events") / F.col("at_risk")).over(sooner)).select("t", "events", "at_risk", "cumulative")
 
 
-def segments(curve: DataFrame, t: str, value: str) -> DataFrame:
-    """(t0, t1, v0, v1) of neighbouring points; the last reaches to infinity with its own value."""
-    w = Window.orderBy(t)
-    return curve.select(F.col(t).cast("double").alias("t0"), F.coalesce(F.lead(F.col(t).cast("double")).over(w), F.lit(float("inf"))).alias("t1"), F.col(value).cast("double").alias("v0"), F.coalesce(F.lead(value).over(w), F.col(value)).cast("double").alias("v1"))
+def segments(curve: DataFrame, t: str, value: str, cell: float) -> DataFrame:
+    """(t0, t1, v0, v1, cell) of neighbouring points, one row for each cell of time that the segment touches."""
+    w = Window.orderBy("t0")
+    pts = curve.where(F.col(t).isNotNull()).select(F.col(t).cast("double").alias("t0"), F.col(value).cast("double").alias("v0"))
+    segs = pts.withColumns({"t1": F.lead("t0").over(w), "v1": F.lead("v0").over(w)}).where("t1 is not null")
+    at = lambda c: F.floor(F.col(c) / cell)
+    return segs.withColumn("_cell", F.explode(F.sequence(at("t0"), at("t1"))))
 
 
-def step_lookup(df: DataFrame, at: str, curve: DataFrame, t: str, value: str, before: float, name: str) -> DataFrame:
-    """``df`` with the curve's last value at or before ``at``, ``before`` ahead of its first point. The curve is one row per
-    point of time; both sides meet on whole cells of time, so the range condition is checked within a cell only."""
-    return _on_curve(df, at, curve, t, value, name, before, lambda x, s: s["v0"])
+def step_lookup(df: DataFrame, at: str, curve: DataFrame, t: str, value: str, before: float, name: str, cell: float = 30.0) -> DataFrame:
+    """``df`` with the curve's last value at or before ``at``, ``before`` ahead of its first point; null where ``at`` is.
 
+    The curve has one row per distinct time. Rows and segments meet by an equi-join on cells of time of width ``cell``,
+    which holds the range condition to the few segments of a cell."""
+    return _on_curve(df, at, curve, t, value, name, before, cell, F.col("v0"))
 
-def interpolated(df: DataFrame, at: str, curve: DataFrame, t: str, value: str, before: float, name: str) -> DataFrame:
-    """``df`` with the curve's value at ``at``, linear between points and level after the last."""
-    return _on_curve(df, at, curve, t, value, name, before, lambda x, s: F.when(F.isnull(s["t1"]) | (s["t1"] == float("inf")), s["v0"]).otherwise(s["v0"] + (s["v1"] - s["v0"]) * (x - s["t0"]) / (s["t1"] - s["t0"])))
 
+def interpolated(df: DataFrame, at: str, curve: DataFrame, t: str, value: str, before: float, name: str, cell: float = 30.0) -> DataFrame:
+    """``df`` with the curve's value at ``at``, linear between points and level after the last; otherwise as ``step_lookup``."""
+    lerp = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("_x") - F.col("t0")) / (F.col("t1") - F.col("t0"))
+    return _on_curve(df, at, curve, t, value, name, before, cell, lerp)
 
-def _on_curve(df: DataFrame, at: str, curve: DataFrame, t: str, value: str, name: str, before: float, read) -> DataFrame:
-    points = segments(curve, t, value).agg(F.array_sort(F.collect_list(F.struct("t0", "t1", "v0", "v1"))).alias("points"))
-    # one row with the sorted points of a curve (distinct times): the row is small by what a curve is, and read as a constant
-    arr = points.scalar()
-    x = F.col(at).cast("double")
-    hit = F.filter(arr, lambda s: (s["t0"] <= x) & (x < s["t1"]))
-    seg = F.get(hit, F.lit(0))
-    return df.withColumn(name, F.when(x.isNotNull(), F.when(seg.isNull(), F.lit(before)).otherwise(read(x, seg))))
+
+def _on_curve(df: DataFrame, at: str, curve: DataFrame, t: str, value: str, name: str, before: float, cell: float, read: Column) -> DataFrame:
+    end = curve.where(F.col(t).isNotNull()).agg(F.max(F.struct(F.col(t).cast("double").alias("t"), F.col(value).cast("double").alias("v"))).alias("m"))
+    end_t, end_v = end.select("m.t").scalar(), end.select("m.v").scalar()
+    x = df.withColumn("_x", F.col(at).cast("double")).withColumn("_cell", F.floor(F.col("_x") / cell))
+    hit = x.alias("x").join(segments(curve, t, value, cell).alias("s"), (F.col("x._cell") == F.col("s._cell")) & (F.col("_x") >= F.col("t0")) & (F.col("_x") < F.col("t1")), "left")
+    found = F.when(F.col("_x") >= end_t, end_v).otherwise(F.coalesce(read, F.lit(before)))
+    return hit.withColumn(name, F.when(F.col("_x").isNotNull(), found)).select(*[F.col(f"x.{c}") for c in df.columns], name)
