@@ -106,7 +106,7 @@ def event_within(baseline_at: Column, baseline_later: Column, score: Column) ->
 
 
 def concordance(df: DataFrame, duration: str, event: str, score: str, digits: int = 2) -> DataFrame:
-    """One row: pairs that can be compared, those in the right order, ties in score, and the index.
+    """One row: pairs that can be compared, those in the right order, ties in score, and the index (null without pairs).
 
     A pair counts if the shorter duration ended in an event. Scores are compared to ``digits`` decimals and durations to
     whole units, so that rows fold to cells before the one task that counts pairs; its size is bounded by cells, not rows.
@@ -137,9 +137,11 @@ def concordance(df: DataFrame, duration: str, event: str, score: str, digits: in
                 while c < len(tree):
                     tree[c] += int(n)
                     c += c & -c
-        yield pd.DataFrame({"pairs": [pairs], "right": [right], "tied": [tie], "index": [(right + tie / 2) / pairs if pairs else None]}).astype({"index": "float64"})
+        yield pd.DataFrame({"pairs": [pairs], "right": [right], "tied": [tie]})
 
-    return cells.coalesce(1).mapInPandas(count, "pairs bigint, right bigint, tied bigint, index double")
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    counted = cells.coalesce(1).mapInPandas(count, "pairs bigint, right bigint, tied bigint").agg(n("pairs").alias("pairs"), n("right").alias("right"), n("tied").alias("tied"))
+    return counted.withColumn("index", F.try_divide(F.col("right") + F.col("tied") / 2, F.col("pairs")))
 
 
 def lifetimes(df: DataFrame, key: str, installed: str, removed: str, window_start: date, as_of: date) -> DataFrame:

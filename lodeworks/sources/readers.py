@@ -59,7 +59,9 @@ def routed(spark: SparkSession, paths: dict[str, str], schema: StructType | str,
 
 def fixed_width(spark: SparkSession, path: str, layout: dict[str, tuple[int, int]], encoding: str = "ISO-8859-1") -> DataFrame:
     """Texts cut by a layout of (start from 1, length), outer blanks off, blank fields null; blank lines are skipped."""
-    lines = spark.read.option("encoding", encoding).text(path).where(F.trim("value") != "")
+    # the text source reads UTF-8 only; the CSV source decodes, and here sees one column a line
+    whole = {"encoding": encoding, "sep": "\u0001", "quote": "\u0000", "escape": "\u0000", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    lines = spark.read.schema("value string").options(**whole).csv(path).where(F.trim("value") != "")
     cell = lambda s, n: F.trim(F.substring("value", s, n))
     return lines.select(*[F.when(cell(s, n) != "", cell(s, n)).alias(c) for c, (s, n) in layout.items()])
 
