@@ -7,15 +7,34 @@ entity's whole history stands in one task; what a chunk inherits comes from a ru
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, TimestampNTZType, TimestampType
 
 from lodeworks.functions.columns import day_number
 
 CARRIED, VERSION, EVENT = 0, 1, 2  # order at equal times
 
 
-def known_at(events: DataFrame, versions: DataFrame, entity: str, event_time: str, effective: str, recorded: str, tie: str, attributes: list[str], prefix: str = "", chunk_days: int = 64) -> DataFrame:
+def _chunks(kind: DataType, days: float) -> Callable[[Column], Column]:
+    """The chunk of a time; it never falls as time goes on, whatever the session's zone does to clocks."""
+
+    def chunk(c: Column) -> Column:
+        c = c.cast(kind)
+        if isinstance(kind, TimestampType):
+            seconds = F.unix_seconds(c)
+        elif isinstance(kind, TimestampNTZType):
+            seconds = day_number(c) * F.lit(86_400) + F.hour(c) * 3600 + F.minute(c) * 60 + F.floor(F.second(c))
+        else:
+            seconds = day_number(c) * F.lit(86_400)
+        return F.floor(seconds / F.lit(days * 86_400.0))
+
+    return chunk
+
+
+def known_at(events: DataFrame, versions: DataFrame, entity: str, event_time: str, effective: str, recorded: str, tie: str, attributes: list[str], prefix: str = "", chunk_days: float = 64) -> DataFrame:
     """``events`` with ``attributes`` of the version of the same entity that was in effect and already recorded.
 
     Usable versions have ``effective <= event_time`` and ``recorded <= event_time``; of those the greatest
@@ -27,11 +46,11 @@ def known_at(events: DataFrame, versions: DataFrame, entity: str, event_time: st
     underscores. Attributes need an orderable type.
 
     Scale: the state is worked out once for each distinct (entity, event time), which collapses hot entities before the
-    first shuffle; the ordered pass is by (entity, chunk of ``chunk_days``); the join back is on (entity, time), where
-    AQE can split a hot pair.
+    first shuffle; the ordered pass is by (entity, chunk of ``chunk_days``, parts of a day for times finer than days); the
+    join back is on (entity, time), where AQE can split a hot pair.
     """
     attributes = [tie] + [a for a in attributes if a != tie]
-    chunk = lambda c: F.floor(day_number(c) / F.lit(chunk_days)).cast("int")
+    chunk = _chunks(events.schema[event_time].dataType, chunk_days)
     names, taken = [], {c.lower() for c in events.columns}
     for a in attributes:
         name = prefix + a

@@ -164,6 +164,40 @@ def lookup_with_fallback(spark, sf):
     return table(spark, sf, "contracts").select("contract_award_unique_key", F.coalesce(v.lookup(first, _FAMILY), F.when(F.col("psc_role") != "out_of_scope", "other").otherwise("out")).alias("family"), first.isin("9", "7").alias("is_goods"))
 
 
+_BOTH = "count(DISTINCT _filter_kind) FILTER (WHERE _filter_kind IN ('psc', 'naics')) = 2"
+
+
+@query(f"SELECT {_KEY} AS key, {_BOTH} AS matched_both FROM awards_raw WHERE coalesce(trim(contract_award_unique_key), '') <> '' GROUP BY 1")
+def matched_both_pulls(spark, sf):
+    joined = a3_matched_filters(spark, sf)
+    return joined.select("key", (F.col("filters").contains("psc") & F.col("filters").contains("naics")).alias("matched_both"))
+
+
+_MEDIAN = "(SELECT median(number_of_offers_received) FROM contracts)"
+
+
+@query(
+    f"""SELECT contract_award_unique_key, coalesce(CASE WHEN channel <> 'unknown' THEN channel END, CASE WHEN upper(trim(psc_code)) LIKE '9%' THEN 'direct' END, 'unknown') AS channel,
+  CASE WHEN channel <> 'unknown' THEN 'label' WHEN upper(trim(psc_code)) LIKE '9%' THEN 'rule' ELSE 'none' END AS channel_source,
+  coalesce(sub_agency ILIKE '%fleet%' OR sub_agency ILIKE '%range%', false) AS by_name, CASE WHEN award_amount IS NULL THEN 'unknown' WHEN award_amount < 10000 THEN 'small' ELSE 'large' END AS stratum,
+  ln(1 + coalesce(number_of_offers_received, {_MEDIAN})) AS log_offers, CAST(number_of_offers_received IS NULL AS INTEGER) AS imputed FROM contracts"""
+)
+def merged_and_imputed(spark, sf):
+    """Merges by priority with the source they came from, name tests, strata with an explicit unknown, imputed logarithms."""
+    c = table(spark, sf, "contracts")
+    label, rule = F.when(F.col("channel") != "unknown", F.col("channel")), F.when(F.upper(F.trim("psc_code")).startswith("9"), F.lit("direct"))
+    offers = F.coalesce("number_of_offers_received", c.agg(F.median("number_of_offers_received").alias("m")).scalar())
+    return c.select(
+        "contract_award_unique_key",
+        F.coalesce(label, rule, F.lit("unknown")).alias("channel"),
+        F.when(label.isNotNull(), "label").when(rule.isNotNull(), "rule").otherwise("none").alias("channel_source"),
+        F.coalesce(F.col("sub_agency").ilike("%fleet%") | F.col("sub_agency").ilike("%range%"), F.lit(False)).alias("by_name"),
+        F.when(F.col("award_amount").isNull(), "unknown").when(F.col("award_amount") < 10_000, "small").otherwise("large").alias("stratum"),
+        F.log1p(offers).alias("log_offers"),
+        F.col("number_of_offers_received").isNull().cast("int").alias("imputed"),
+    )
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def f8_json_path(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"))

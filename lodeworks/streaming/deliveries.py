@@ -33,6 +33,8 @@ class DeliveryStore:
     row_id: str
     event_time: str
     expiry_days: int = 30
+    #: archive segments that are folded into one when there are so many
+    fold_segments: int = 16
 
     def __post_init__(self) -> None:
         self.files = Files(self.spark, self.root)
@@ -53,7 +55,7 @@ class DeliveryStore:
             hot = spark.read.schema(rows.schema).parquet(last["state"])
             parts.append(hot)
             if last["archive"]:
-                cold = spark.read.schema("k string, best {}, seen timestamp_ntz, moved int".format(rows.schema["best"].dataType.simpleString())).parquet(*last["archive"])
+                cold = self._archived(spark, rows, last["archive"])
                 asked = rows.select("k").distinct().join(hot.select("k"), "k", "left_anti")
                 parts.append(cold.join(asked, "k", "left_semi").groupBy("k").agg(F.max_by(F.struct("best", "seen"), "moved").alias("b")).select("k", "b.best", "b.seen"))
         candidates = parts[0]
@@ -68,15 +70,28 @@ class DeliveryStore:
         surplus.write.mode("overwrite").parquet(f"{self.root}/out/{n}")
         latest = now.agg(F.max("seen").cast("string")).first()[0]
         has = self.files.names(place)
+        archive = last["archive"] + ([f"{place}/expired=true"] if "expired=true" in has else [])
+        if len(archive) >= self.fold_segments:
+            archive = [self._folded(spark, rows, archive, n)]
         commit = {
             "state": f"{place}/expired=false" if "expired=false" in has else None,
-            "archive": last["archive"] + ([f"{place}/expired=true"] if "expired=true" in has else []),
+            "archive": archive,
             "latest": max(filter(None, [latest, last["latest"]]), default=None),
         }
         self.files.write_once(f"{self.root}/commits/{n}.json", json.dumps(commit))
         for old in [m for m in self.committed() if m < n - 1]:
             self.files.delete(f"{self.root}/state/{old}/expired=false")
 
+    def _archived(self, spark: SparkSession, like: DataFrame, segments: list[str]) -> DataFrame:
+        return spark.read.schema(f"k string, best {like.schema['best'].dataType.simpleString()}, seen timestamp_ntz, moved int").parquet(*segments)
+
+    def _folded(self, spark: SparkSession, like: DataFrame, segments: list[str], n: int) -> str:
+        """One archive segment of many, each key once as it was moved last."""
+        path = f"{self.root}/archive/{n}"
+        latest = self._archived(spark, like, segments).groupBy("k").agg(F.max_by(F.struct("best", "seen", "moved"), "moved").alias("s"))
+        latest.select("k", "s.*").write.mode("overwrite").parquet(path)
+        return path
+
     def run(self, stream: DataFrame) -> None:
         """All that the source has now, as micro-batches; safe to run again after any failure."""
         query = stream.writeStream.foreachBatch(self.merge).option("checkpointLocation", f"{self.root}/offsets").trigger(availableNow=True).start()

@@ -28,7 +28,7 @@ def test_against_brute_force(spark):
     versions = [(i, rnd.choice("ABC"), day(), day(), rnd.choice(["N", "S", None])) for i in range(80)]
     versions += versions[:10] + [(900, None, day(), day(), "x"), (901, "A", None, day(), "x"), (902, "A", day(), None, "x")]
     events = [(i, rnd.choice(["A", "A", "A", "B", "C", "D", None]), rnd.choice([day(), day(), None, versions[3][2]]), "clash") for i in range(300)]
-    for chunk in (1, 64, 5000):
+    for chunk in (0.125, 1, 64, 5000):
         got, df = run(spark, events, versions, chunk_days=chunk)
         assert got == brute(events, versions)
         assert df.count() == len(events)

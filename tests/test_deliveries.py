@@ -56,6 +56,16 @@ def test_a_batch_that_is_run_again_changes_nothing(spark):
     assert {r.id for r in store.surplus().collect()} == brute(data)
 
 
+def test_archive_segments_are_folded(spark):
+    data = rows(300, 6, keys=40)
+    store = DeliveryStore(spark, fresh(spark, "store"), F.upper(F.nullif(F.trim("key"), F.lit(""))), F.col("rank"), "id", "at", expiry_days=0, fold_segments=2)
+    for n in range(6):
+        store.merge(spark.createDataFrame(data[n::6], SCHEMA), n)
+    assert any("/archive/" in p for p in store._last(99)["archive"]) and len(store._last(99)["archive"]) <= 2
+    got = [r.id for r in store.surplus().collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(data)
+
+
 def test_empty_table_and_late_key(spark):
     path = fresh(spark, "in")
     spark.createDataFrame([], SCHEMA).write.parquet(path)
