@@ -22,8 +22,8 @@ from lodeworks.sources.shared import settle
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 JAVA_PATTERN = PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\p{IsWhite_Space}\p{L}\p{N}]").replace(r"(?!\S)", r"(?!\P{IsWhite_Space})").replace(r"\s+", r"\p{IsWhite_Space}+")
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Words of at most WORD_BYTES bytes, so many, form the dictionary that every task gets: 65,536 * 48 bytes and as many ids.
-HEAD_WORDS, WORD_BYTES = 65_536, 48
+#: Words of at most WORD_BYTES bytes, so many, form the dictionary that every task gets: 65,536 * 128 bytes and at most as many ids.
+HEAD_WORDS, WORD_BYTES = 65_536, 128
 
 
 def vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
