@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.tokens import spread
+from lodeworks.llm.tokens import slices, spread
 
 WORD = re.compile(r"[^\W_]+")
 #: Characters of the alphabet: code points from 1 on, without the surrogates; 0 stands for words of no item.
@@ -97,7 +97,7 @@ def leaked_spans(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             machine, alphabet = automaton(shared.value, run)
-            for b in batches if machine else ():
+            for b in slices(batches) if machine else ():
                 rows = [(i, *s) for i, t in enumerate(b["t"].to_pylist()) for s in spans(t, machine, alphabet, run)]
                 which = pa.array([r[0] for r in rows], pa.int64())
                 cols = [pa.array([r[j] for r in rows], pa.int64() if j == 1 else pa.int32()) for j in range(1, 5)]

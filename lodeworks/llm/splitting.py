@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.tokens import VOCABULARY, encoder, spread, vocabulary
+from lodeworks.llm.tokens import VOCABULARY, encoder, slices, spread, vocabulary
 
 EOL = r"(?:\r\n|[\n\r\x85\u2028\u2029])"
 #: Where nodes begin, from the coarsest to the finest kind: a match's end, or its start for what opens a node.
@@ -145,7 +145,7 @@ def split_oversized(docs: DataFrame, id_column: str, text_column: str, limit: in
         sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for piece, i in ranks.items():
             sizes[i] = len(piece)
-        for b in batches:
+        for b in slices(batches, 128):
             which, rows = [], []
             for i, t in enumerate(b["t"].to_pylist()):
                 found = pieces_of(t, enc, sizes, limit, overlap)

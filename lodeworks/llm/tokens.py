@@ -49,6 +49,13 @@ def spread(df: DataFrame, by: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, by)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what Python makes of long texts stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def word_table(texts: DataFrame, column: str, ranks: dict[bytes, int]) -> DataFrame:
     """(word, n, ids) of each distinct word of the texts with the number of times it occurs."""
     shared = texts.sparkSession.sparkContext.broadcast(ranks)
@@ -87,7 +94,7 @@ def encoded(docs: DataFrame, id_column: str, text_column: str, vocabulary_path:
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, ids = map(_unpickled, shared.value)
-        for b in batches:
+        for b in slices(batches, 2048):
             yield _runs(b["d"], b["w"], words, ids)
 
     part = "array<struct<p: int, i: array<int>>>"
@@ -114,7 +121,7 @@ def _unpickled(b: bytes) -> pa.Array:
 
 def _runs(d: pa.Array, lists: pa.ListArray, words: pa.Array, ids: pa.ListArray) -> pa.RecordBatch:
     """Of each document: runs of ids of dictionary words between the others, by position, and the other words."""
-    offsets = lists.offsets.to_numpy().astype(np.int64)
+    offsets = lists.offsets.to_numpy().astype(np.int64)  # of a slice, these don't begin at 0
     flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
     offsets = offsets - offsets[0]
     at = pc.index_in(flat.cast(pa.string()), value_set=words)
