@@ -7,6 +7,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 from datetime import date
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,31 +17,39 @@ from pyspark.sql.types import StructType
 from lodeworks.functions.values import to_number
 
 
-def zipped_csv(spark: SparkSession, path: str, wanted: list[str], tag_pattern: str = r"([^/]+)$") -> DataFrame:
-    """Rows of the CSV members of all archives under ``path``: the wanted columns as texts, null where a member lacks one,
-    with ``member``, and ``tag`` from the archive's name. A member is read row by row, line breaks within quotes included;
-    an archive is one task, so land archives of bounded size."""
+def _members(where: str, content: bytes, zipped: bool) -> Iterator[tuple[str, io.TextIOBase]]:
+    """The CSV texts of a landed file: members of an archive, or the file itself."""
+    if not zipped:
+        yield where.rsplit("/", 1)[-1], io.TextIOWrapper(io.BytesIO(content), "utf-8-sig", newline="")
+        return
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for name in sorted(n for n in z.namelist() if n.lower().endswith(".csv")):
+            with z.open(name) as raw:
+                yield name, io.TextIOWrapper(raw, "utf-8-sig", newline="")
+
+
+def _csv_files(spark: SparkSession, path: str, wanted: list[str], needed: list[str], zipped: bool) -> DataFrame:
     schema = ", ".join(f"`{c}` string" for c in wanted) + ", member string, path string"
-    archives = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [*wanted, "member", "path"]
         for f in frames:
             for where, content in zip(f["path"], f["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in sorted(n for n in z.namelist() if n.lower().endswith(".csv")):
-                        with z.open(name) as raw:
-                            reader = csv.DictReader(io.TextIOWrapper(raw, "utf-8-sig", newline=""))
-                            held: list[list] = []
-                            for row in reader:
-                                held.append([row.get(c) or None for c in wanted] + [name, where])
-                                if len(held) == 20_000:
-                                    yield pd.DataFrame(held, columns=columns, dtype=object)
-                                    held = []
-                            if held:
-                                yield pd.DataFrame(held, columns=columns, dtype=object)
-
-    return archives.mapInPandas(unpack, schema).withColumn("tag", F.regexp_extract("path", tag_pattern, 1)).drop("path")
+                for name, text in _members(where, content, zipped):
+                    reader = csv.DictReader(text)
+                    if not set(needed) <= set(reader.fieldnames or ()):
+                        continue
+                    while held := [[row.get(c) or None for c in wanted] + [name, where] for row in islice(reader, 20_000)]:
+                        yield pd.DataFrame(held, columns=columns, dtype=object)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, schema)
+
+
+def zipped_csv(spark: SparkSession, path: str, wanted: list[str], tag_pattern: str = r"([^/]+)$") -> DataFrame:
+    """Rows of the CSV members of all archives under ``path``: the wanted columns as texts, null where a member lacks one,
+    with ``member``, and ``tag`` from the archive's name. A member is read row by row, line breaks within quotes included;
+    an archive is one task, so land archives of bounded size."""
+    return _csv_files(spark, path, wanted, [], True).withColumn("tag", F.regexp_extract("path", tag_pattern, 1)).drop("path")
 
 
 def headed_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -77,10 +86,10 @@ def json_document(spark: SparkSession, path: str, schema: StructType | str) -> D
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def snapshots(spark: SparkSession, path: str, schema: StructType | str, needed: list[str]) -> DataFrame:
-    """Daily CSV snapshots as one table; files whose header lacks a needed column give no rows."""
-    raw = spark.read.schema(schema).options(header=True, enforceSchema=False).csv(path)
-    return raw.dropna(subset=needed)
+def snapshots(spark: SparkSession, path: str, wanted: list[str], needed: list[str], zipped: bool = False) -> DataFrame:
+    """Daily CSV snapshots (or archives of them) as one table of texts with ``member``; a snapshot whose header lacks a needed
+    column gives no rows. Columns may differ in order and number from day to day. A file is one task."""
+    return _csv_files(spark, path, wanted, needed, zipped).drop("path")
 
 
 def annual_facts(doc: DataFrame, json_column: str, tag: str, taxonomy: str = "us-gaap", form: str = "10-K", period: str = "FY", unit: str = "USD") -> DataFrame:

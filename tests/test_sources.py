@@ -39,6 +39,15 @@ def test_delimited_fails_on_another_number_of_fields(spark, tmp_path):
         readers.delimited(spark, str(tmp_path / "bad.csv"), ["x", "y"]).collect()
 
 
+def test_snapshots_of_changing_columns(spark, tmp_path):
+    (tmp_path / "d1.csv").write_text("disk,age,failed\na,1,0\nb,2,1\n")
+    (tmp_path / "d2.csv").write_text("failed,note,disk\n0,x,c\n")
+    (tmp_path / "d3.csv").write_text("disk,age\nd,1\n")
+    (tmp_path / "d4.csv").write_text("")
+    got = sorted((r.disk, r.age, r.failed, r.member) for r in readers.snapshots(spark, str(tmp_path), ["disk", "age", "failed"], ["disk", "failed"]).collect())
+    assert got == [("a", "1", "0", "d1.csv"), ("b", "2", "1", "d1.csv"), ("c", None, "0", "d2.csv")]
+
+
 def test_annual_facts_and_ratio(spark):
     fact = lambda s, e, v, filed, form="10-K", fp="FY": dict(start=s, end=e, val=v, filed=filed, form=form, fp=fp)
     rev = [fact("2020-01-01", "2020-12-31", 10, "2021-02-01"), fact("2020-01-01", "2020-12-31", 12, "2022-02-01"), fact("2021-01-01", "2021-12-31", 20, "2022-02-01"), fact("2021-10-01", "2021-12-31", 5, "2022-02-01", "10-Q", "Q4"), fact(None, "2021-12-31", 5, "2022-02-01")]
