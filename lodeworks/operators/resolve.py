@@ -44,13 +44,14 @@ def match_names(asked: DataFrame, known: DataFrame, least: float = 0.92, margin:
     """(id, entity, score, outcome) of each asked name (id, norm) against known names (id, norm, entity).
 
     ``exact``: one entity has the same normal form. ``ambiguous``: several have it, or the best two scores of different
-    entities lie within ``margin``. ``fuzzy``: the best score is ``least`` or more. Else ``unresolved``, with its best score.
+    entities lie within ``margin``. ``fuzzy``: the best score is ``least`` or more. Else ``unresolved``. Scores below
+    ``least - margin`` decide nothing and are not worked out, so they come out null.
     """
     exact = asked.join(known.select("norm", "entity").distinct(), "norm").groupBy("id").agg(F.count("*").alias("n"), F.min("entity").alias("entity"))
     solved = exact.select("id", F.when(F.col("n") == 1, F.col("entity")).alias("entity"), F.lit(1.0).alias("score"), F.when(F.col("n") == 1, "exact").otherwise("ambiguous").alias("outcome"))
     open_ = asked.join(exact, "id", "left_anti")
     pairs = candidates(open_, known, most).join(open_.select(F.col("id").alias("a"), F.col("norm").alias("na")), "a").join(known.select(F.col("id").alias("b"), F.col("norm").alias("nb"), "entity"), "b")
-    scored = pairs.withColumn("score", token_set_ratio("na", "nb")).groupBy("a", "entity").agg(F.max("score").alias("score"))
+    scored = pairs.withColumn("score", token_set_ratio("na", "nb", least - margin)).where("score is not null").groupBy("a", "entity").agg(F.max("score").alias("score"))
     w = Window.partitionBy("a").orderBy(F.desc("score"), "entity")
     top = scored.withColumn("rn", F.row_number().over(w)).where("rn <= 2").groupBy("a").agg(F.max(F.when(F.col("rn") == 1, F.struct("score", "entity"))).alias("x"), F.max(F.when(F.col("rn") == 2, F.col("score"))).alias("second"))
     good = F.col("x.score") >= least

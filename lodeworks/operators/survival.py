@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.sources.shared import settle
+
 
 @dataclass(frozen=True)
 class Cox:
@@ -62,7 +64,7 @@ def fit_cox(df: DataFrame, duration: str, event: str, features: list[str], entry
     scale = np.array([m[f"s{i}"] or 1.0 for i in range(p)])
     z = [(F.col(f"x{i}") - F.lit(float(mean[i]))) / F.lit(float(scale[i])) for i in range(p)]
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    base = rows.select("t", "e", "d", *[c.alias(f"z{i}") for i, c in enumerate(z)])
+    base = settle(rows.select("t", "e", "d", *[c.alias(f"z{i}") for i, c in enumerate(z)]), "training")  # read once a step
 
     def sums(by: str, beta: np.ndarray) -> pd.DataFrame:
         eta = F.lit(0.0)
