@@ -15,6 +15,7 @@ from lodeworks.operators import accounts, conform, coverage, curves, episodes, f
 from lodeworks.params import DEFAULT as P
 from lodeworks.plans import governance
 from lodeworks.sources import readers, sinks
+from lodeworks.sources.shared import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -766,9 +767,10 @@ def a34_variants(spark, sf):
 @query()
 def u2_resolver(spark, sf):
     """Names without an identifier resolved against those with one: exact, fuzzy within a margin, ambiguous or unresolved."""
-    raw = resolve.with_norms(table(spark, sf, "awards_raw"), "recipient_name_raw").where("norm is not null")
-    known = raw.where("recipient_uei is not null").groupBy("norm", F.col("recipient_uei").alias("entity")).agg(F.min("raw_row_id").alias("id"))
-    asked = raw.where("recipient_uei is null").groupBy("norm").agg(F.min("raw_row_id").alias("id"))
+    seen = table(spark, sf, "awards_raw").groupBy("recipient_name_raw", "recipient_uei").agg(F.min("raw_row_id").alias("id"))
+    raw = settle(resolve.with_norms(seen, "recipient_name_raw").where("norm is not null"), "norms")  # each spelling once
+    known = raw.where("recipient_uei is not null").groupBy("norm", F.col("recipient_uei").alias("entity")).agg(F.min("id").alias("id"))
+    asked = raw.where("recipient_uei is null").groupBy("norm").agg(F.min("id").alias("id"))
     return resolve.match_names(asked.select("id", "norm"), known.select("id", "norm", "entity"))
 
 
