@@ -817,6 +817,17 @@ def j4_many_to_one(spark, sf):
     return c.join(table(spark, sf, "nation"), "n_nationkey").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("l_orderkey", "l_linenumber", "o_custkey", "n_name", "r_name")
 
 
+@query(
+    """SELECT l_orderkey, l_linenumber, o_custkey, n_name, r_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+)
+def j4_every_line(spark, sf):
+    """The validated join over every row of lineitem, as the reference joins; ``j4_many_to_one`` takes returned late lines only."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    o = conform.join_many_to_one(rows, table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), ["l_orderkey"], "inner")
+    c = o.join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")), "o_custkey")
+    return c.join(table(spark, sf, "nation"), "n_nationkey").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("l_orderkey", "l_linenumber", "o_custkey", "n_name", "r_name")
+
+
 # rules
 
 
