@@ -2,8 +2,8 @@
 
 Each distinct spelling is read into a form: distinctive tokens, line of business, legal form. A symmetric-delete index over
 the distinct tokens finds tokens a small edit apart and gives each the most frequent of its neighbours as common token.
-Forms that share a common token, and the first letter of the other token (or finer keys in a crowd), with an anchor (a form of two whole tokens) are
-aligned with it: tokens are assigned to each other in the cheapest way, where an edit, an abbreviation or an initial has a
+Forms that share a common token, and the first letter of the other token (or finer keys in a crowd), with an anchor (any form that ranks
+higher; of one token, if both have one only) are aligned with it: tokens are assigned to each other in the cheapest way, where an edit, an abbreviation or an initial has a
 cost. Every form takes at most one parent, the cheapest anchor that ranks higher, so links are as many as forms at most,
 and entities are the trees that result.
 """
@@ -283,9 +283,10 @@ def common_tokens(tokens: DataFrame, rounds: int = 2) -> DataFrame:
 
 
 def _probes(forms: DataFrame, common: DataFrame) -> DataFrame:
-    """(id, key): where a form is looked for: under a common token and the first letter of the other token.
+    """(id, key, stands): where a form is looked for: under a common token and the first letter of the other token.
 
-    Of tokens that were run together every cut is tried. A key under which more than CROWD different anchors stand is
+    A form of one token stands under its common token, where those of one token meet; of tokens that were run together every
+    cut is tried too, and under those it doesn't stand as an anchor (``stands``). A key under which more than CROWD different anchors stand is
     replaced, for all its forms, by finer ones: the first two letters of the other token without vowels, which
     abbreviations keep; where those are crowded too, the same with the business and with the legal form; and always the
     pair of common tokens. What has none of these, an initial without business or legal form, fits several of so many
@@ -307,7 +308,9 @@ def _probes(forms: DataFrame, common: DataFrame) -> DataFrame:
     told = keys.join(crowded("k1", "n1"), "k1", "left").join(crowded("k2", "n2"), "k2", "left")
     with_ = lambda c: F.when(F.col(c) != "", F.concat_ws("|", "k2", F.lit(c), c))
     finer = F.concat(F.when(F.col("n2").isNull(), F.array("k2")).otherwise(F.array(with_("line"), with_("legal"))), F.array("k3"))
-    return told.select("id", F.explode(F.array_compact(F.when(F.col("n1").isNull(), F.array("k1")).otherwise(finer))).alias("key")).distinct()
+    paired = told.select("id", F.explode(F.array_compact(F.when(F.col("n1").isNull(), F.array("k1")).otherwise(finer))).alias("key"), F.col("g").isNotNull().alias("stands")).distinct()
+    single = forms.where(b == "").select("id", a.alias("token")).join(common, "token", "left").select("id", F.concat_ws("|", F.coalesce("common", "token"), F.lit("1")).alias("key"), F.lit(True).alias("stands"))
+    return paired.unionByName(single)
 
 
 def linked_forms(forms: DataFrame) -> DataFrame:
@@ -322,7 +325,7 @@ def linked_forms(forms: DataFrame) -> DataFrame:
     probes = settle(_probes(forms, common), "probes")
     kept = ranked.select("id", "rank", "form")
     # Anchors: of a key and entity-like group of forms, only the highest-ranking stands for the others.
-    anchors = probes.join(ranked.where("b <> ''"), "id")
+    anchors = probes.where("stands").join(ranked, "id")
     anchors = anchors.groupBy("key", F.array_sort(F.array(F.coalesce("ca", "a"), F.coalesce("cb", "b"))).alias("pair"), "mid", "biz", "legal").agg(F.max(F.struct("rank", "form")).alias("m")).select("key", F.col("m.rank").alias("to_rank"), F.col("m.form").alias("to_form"))
     pairs = probes.join(kept, "id").join(anchors, "key").where(F.col("to_rank") > F.col("rank")).select("id", "rank", "form", "to_rank", "to_form").dropDuplicates(["id", "to_rank"])
     scored = pairs.withColumn("cost", _cost("form", "to_form")).where("cost is not null")
