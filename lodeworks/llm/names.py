@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from itertools import islice, permutations, product
 
@@ -176,7 +177,7 @@ def read_name(name: str | None) -> tuple[str, str, str, str, str] | None:
     """(a, b, mid, biz, legal) of a spelling; None if it has no letter or digit.
 
     ``a`` and ``b`` are the distinctive tokens in alphabetical order, for persons given name and surname; ``b`` is empty if
-    there is one token only (as when two were run together). More than two tokens stay in ``b``, joined by blanks.
+    there is one token only (as when two were run together). Of more tokens ``b`` holds all but the first, in order, joined by blanks.
     """
     if name is None:
         return None
@@ -207,10 +208,8 @@ def read_name(name: str | None) -> tuple[str, str, str, str, str] | None:
             x, y = y, x
         if x in GIVEN or len(x) == 1:
             return GIVEN.get(x, x), y, mid, "", ""
-    if len(kept) > 2:
-        kept = [kept[0], " ".join(kept[1:])]
-    a, b = sorted(kept) if len(kept) == 2 else (kept[0], "")
-    return a, b, mid, biz, legal
+    a, *more = sorted(kept)
+    return a, " ".join(more), mid, biz, legal
 
 
 def _biz_agrees(x: str, y: str) -> bool:
@@ -222,6 +221,93 @@ def _biz_agrees(x: str, y: str) -> bool:
     return len(s) > 2 and set(s.split()) < set(w.split())
 
 
+def assigned(costs: list[list[float]]) -> list[int]:
+    """The column of each row in the cheapest assignment; rows are at most as many as columns (Hungarian method)."""
+    n, m = len(costs), len(costs[0])
+    u, v, row, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row[0], j = i, 0
+        least, used = [float("inf")] * (m + 1), [False] * (m + 1)
+        while row[j]:
+            used[j], at, step, to = True, row[j], float("inf"), 0
+            for k in range(1, m + 1):
+                if not used[k]:
+                    c = costs[at - 1][k - 1] - u[at] - v[k]
+                    if c < least[k]:
+                        least[k], way[k] = c, j
+                    if least[k] < step:
+                        step, to = least[k], k
+            for k in range(m + 1):
+                if used[k]:
+                    u[row[k]], v[k] = u[row[k]] + step, v[k] - step
+                else:
+                    least[k] -= step
+            j = to
+        while j:
+            row[j], j = row[way[j]], way[j]
+    out = [0] * n
+    for k in range(1, m + 1):
+        if row[k]:
+            out[row[k] - 1] = k - 1
+    return out
+
+
+def _list_cost(p: list[str], q: list[str], mid: str) -> float | None:
+    """Cost of two lists of two or more tokens, one of them longer than two; tokens left over cost one abbreviation together.
+
+    ``mid`` is the middle initial of the shorter list, which one of the tokens left over must bear out.
+    """
+    same = Counter(p) & Counter(q)
+    if min(len(p), len(q)) - same.total() > MOST / TYPO:
+        return None
+    never = 1e6
+    costs = [[never if (c := token_cost(s, t)) is None else c for t in q] for s in p]
+    to = assigned(costs)
+    paid = [costs[i][j] for i, j in enumerate(to)]
+    over = [t for j, t in enumerate(q) if j not in set(to)]
+    if mid and over and not any(t[0] == mid for t in over):
+        return None
+    total = sum(paid) + (ABBREVIATED if over else 0.0)
+    return total if total <= MOST and min(paid) < ABBREVIATED else None
+
+
+def _run_together(one: str, tokens: list[str]) -> float | None:
+    """Cost of taking ``one`` for three or more tokens without blanks, in any order: up to two edits, or all but one exact."""
+    if len(one) < 8:
+        return None
+    best: float | None = None
+    if abs(len(one) - sum(map(len, tokens))) <= 2:
+        todo = [("", tuple(tokens))]
+        seen = set(todo)
+        while todo:
+            head, rest = todo.pop()
+            if not rest:
+                if (d := osa(one, head, 2)) <= 2:
+                    best = min(0.25 + TYPO * d, best if best is not None else 9.0)
+                continue
+            for i, t in enumerate(rest):
+                step = (head + t, rest[:i] + rest[i + 1 :])
+                if step not in seen and any(osa(step[0], one[: max(0, len(step[0]) + k)], 2) <= 2 for k in range(-2, 3)):
+                    seen.add(step)
+                    todo.append(step)
+    if best is None:
+        ends = [(one, tuple(tokens))]
+        seen = set(ends)
+        while ends:
+            left, rest = ends.pop()
+            if len(rest) == 1:
+                if len(left) >= 3 and (c := token_cost(left, rest[0])) is not None:
+                    best = min(0.25 + c, best if best is not None else 9.0)
+                continue
+            for i, t in enumerate(rest):
+                for cut in ([left[len(t) :]] if left.startswith(t) else []) + ([left[: -len(t)]] if left.endswith(t) else []):
+                    step = (cut, rest[:i] + rest[i + 1 :])
+                    if step not in seen:
+                        seen.add(step)
+                        ends.append(step)
+    return best
+
+
 def form_cost(x: tuple[str, ...], y: tuple[str, ...]) -> float | None:
     """Cost of taking two forms for one entity, by the cheapest assignment of their tokens; None if they can't be."""
     if not _biz_agrees(x[3], y[3]) or x[4] and y[4] and x[4] != y[4] or x[2] and y[2] and x[2] != y[2]:
@@ -229,9 +315,13 @@ def form_cost(x: tuple[str, ...], y: tuple[str, ...]) -> float | None:
     if x[0] in SHORT_NAMES and y[0] in SHORT_NAMES and x[0] != y[0] and not (x[3] or y[3]):
         return None
     loss = 0.1 * (bool(x[3]) != bool(y[3])) + 0.1 * (bool(x[4]) != bool(y[4]))
-    p, q = [t for t in x[:2] if t], [t for t in y[:2] if t]
+    p, q = [x[0], *x[1].split()], [y[0], *y[1].split()]
     best: float | None = None
-    if len(p) == len(q):
+    if min(len(p), len(q)) > 1 and max(len(p), len(q)) > 2:
+        best = _list_cost(p, q, x[2]) if len(p) <= len(q) else _list_cost(q, p, y[2])
+    elif max(len(p), len(q)) > 2:
+        best = _run_together(p[0], q) if len(p) == 1 else _run_together(q[0], p)
+    elif len(p) == len(q):
         for order in permutations(q):
             costs = [token_cost(s, t) for s, t in zip(p, order)]
             if None not in costs and (len(p) == 1 and sum(costs) <= TWO_TYPOS or len(p) == 2 and sum(costs) <= MOST and min(costs) < ABBREVIATED):
@@ -282,6 +372,11 @@ def common_tokens(tokens: DataFrame, rounds: int = 2) -> DataFrame:
     return links
 
 
+def _listed(a: str = "a", b: str = "b") -> Column:
+    """The distinctive tokens of a form, as an array."""
+    return F.concat(F.array(a), F.when(F.col(b) != "", F.split(b, " ")).otherwise(F.array().cast("array<string>")))
+
+
 def _probes(forms: DataFrame, common: DataFrame) -> DataFrame:
     """(id, key, stands): where a form is looked for: under a common token and the first letter of the other token.
 
@@ -296,8 +391,10 @@ def _probes(forms: DataFrame, common: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     head, rest = lambda i: F.substring(a, F.lit(1), i), lambda i: F.substring(a, i + 1, F.length(a))
     cuts = F.flatten(F.transform(F.sequence(F.lit(3), F.length(a) - 3), lambda i: F.array(pair(head(i), rest(i)), pair(rest(i), head(i)))))
+    several = _listed()
+    both_ways = F.array_distinct(F.flatten(F.transform(several, lambda t, i: F.transform(F.filter(several, lambda o, j: j != i), lambda o: pair(t, o)))))
     line = F.when(F.length("biz") == 2, F.col("biz")).otherwise(F.array_join(F.transform(F.split("biz", " "), lambda w: F.substring(w, 1, 1)), ""))
-    asked = forms.select("id", (b != "").alias("anchor"), "mid", line.alias("line"), "legal", F.explode(F.when(b != "", F.array(pair(a, b), pair(b, a))).when(F.length(a) >= 8, cuts)).alias("p")).select("id", "anchor", "mid", "line", "legal", "p.token", "p.other").where(F.length("token") >= 3)
+    asked = forms.select("id", (b != "").alias("anchor"), "mid", line.alias("line"), "legal", F.explode(F.when(b != "", both_ways).when(F.length(a) >= 8, cuts)).alias("p")).select("id", "anchor", "mid", "line", "legal", "p.token", "p.other").where(F.length("token") >= 3)
     named = asked.join(common, "token").join(common.select(F.col("token").alias("other"), F.col("common").alias("second")), "other", "left")
     bare = F.concat(F.substring("other", 1, 1), F.regexp_replace(F.substring("other", 2, 200), "[aeiou]", ""))
     both = F.array_sort(F.array("common", "second"))
@@ -315,18 +412,19 @@ def _probes(forms: DataFrame, common: DataFrame) -> DataFrame:
 
 def linked_forms(forms: DataFrame) -> DataFrame:
     """(id, root) of forms (id, a, b, mid, biz, legal, f); a root stands for an entity."""
-    tokens = forms.select(F.explode(F.array("a", "b")).alias("token"), "f").where(F.length("token") >= 3).groupBy("token").agg(F.sum("f").alias("f"))
+    tokens = forms.select(F.explode(_listed()).alias("token"), "f").where(F.length("token") >= 3).groupBy("token").agg(F.sum("f").alias("f"))
     common = settle(common_tokens(tokens), "common")
-    whole = (F.length("a") >= 4) & (F.length("b") >= 4)
-    clean = (F.coalesce("ca", "a") == F.col("a")).cast("int") + (F.coalesce("cb", "b") == F.col("b")).cast("int")
+    whole = (F.col("b") != "") & F.forall(_listed(), lambda t: F.length(t) >= 4)
+    clean = -F.col("unclean")
     weight = F.struct(((F.col("b") != "").cast("int") * 8 + (F.col("biz") != "").cast("int") * 4 + (F.length("biz") > 2).cast("int") * 2 + (F.col("legal") != "").cast("int") + whole.cast("int") * 16).alias("told"), clean.alias("clean"), "f", (F.length("a") + F.length("b")).alias("long"), "id")
-    named = forms.join(common.select(F.col("token").alias("a"), F.col("common").alias("ca")), "a", "left").join(common.select(F.col("token").alias("b"), F.col("common").alias("cb")), "b", "left")
+    spelled = forms.select("id", F.explode(_listed()).alias("token")).join(common, "token", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.coalesce("common", "token"))).alias("commons"), F.sum(F.coalesce((F.col("common") != F.col("token")).cast("int"), F.lit(0))).alias("unclean"))
+    named = forms.join(spelled, "id")
     ranked = settle(named.withColumn("rank", weight).withColumn("form", F.struct("a", "b", "mid", "biz", "legal")), "ranked")
     probes = settle(_probes(forms, common), "probes")
     kept = ranked.select("id", "rank", "form")
     # Anchors: of a key and entity-like group of forms, only the highest-ranking stands for the others.
     anchors = probes.where("stands").join(ranked, "id")
-    anchors = anchors.groupBy("key", F.array_sort(F.array(F.coalesce("ca", "a"), F.coalesce("cb", "b"))).alias("pair"), "mid", "biz", "legal").agg(F.max(F.struct("rank", "form")).alias("m")).select("key", F.col("m.rank").alias("to_rank"), F.col("m.form").alias("to_form"))
+    anchors = anchors.groupBy("key", "commons", "mid", "biz", "legal").agg(F.max(F.struct("rank", "form")).alias("m")).select("key", F.col("m.rank").alias("to_rank"), F.col("m.form").alias("to_form"))
     pairs = probes.join(kept, "id").join(anchors, "key").where(F.col("to_rank") > F.col("rank")).select("id", "rank", "form", "to_rank", "to_form").dropDuplicates(["id", "to_rank"])
     scored = pairs.withColumn("cost", _cost("form", "to_form")).where("cost is not null")
     best = Window.partitionBy("id")

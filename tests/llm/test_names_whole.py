@@ -20,3 +20,25 @@ def test_names_of_one_token(spark):
 def test_run_together_names_meet_the_spaced_one(spark):
     same = {"Harborline Quistel LLC", "HARBORLINEQUISTEL LLC", "HARBORLINEQUISTL LLC"}
     assert groups(spark, same) == {frozenset(same)}
+
+
+@pytest.mark.parametrize("other", ["Martin Lockheed Space Corp", "Space Lockheed Martin Corp", "Lockheed M. Space", "Lockhed Martin Space Co", "LOCKHEEDMARTINSPACE Corp", "Lockh. Space Martn"])
+def test_forms_of_three_tokens_agree(other):
+    x, y = n.read_name("Lockheed Martin Space"), n.read_name(other)
+    assert n.form_cost(x, y) is not None and n.form_cost(x, y) == n.form_cost(y, x)
+
+
+def test_forms_of_three_tokens_differ():
+    x = n.read_name("Lockheed Martin Space Corp")
+    assert all(n.form_cost(x, n.read_name(o)) is None for o in ("Lockheed Martin Catering Corp", "Lockheed Mordane Quistel Corp", "Lockheed Corp", "Lockheed Martin Space LLC"))
+    assert n.form_cost(n.read_name("William Theodore Kastrode"), n.read_name("William B. Kastrode")) is None
+
+
+def test_assignment():
+    costs = [[4.0, 1.0, 3.0, 9.0], [2.0, 0.0, 5.0, 9.0], [3.0, 2.0, 2.0, 9.0]]
+    assert sum(costs[i][j] for i, j in enumerate(n.assigned(costs))) == 5.0
+
+
+def test_names_of_three_tokens(spark):
+    same = [{"Lockheed Martin Space Corp", "Martin Lockheed Space Corp", "Space Lockheed Martn Corp", "Lockheed M. Space Corp", "LOCKHEEDMARTINSPACE CORP"}, {"Harborline Quistel Catering", "Quistel Harborlin Catering"}, {"Harborline Mordane Catering"}]
+    assert groups(spark, set().union(*same)) == set(map(frozenset, same))
