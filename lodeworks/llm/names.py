@@ -2,7 +2,7 @@
 
 Each distinct spelling is read into a form: distinctive tokens, line of business, legal form. A symmetric-delete index over
 the distinct tokens finds tokens a small edit apart and gives each the most frequent of its neighbours as common token.
-Forms that share a common token, and the first letter of the other token (or finer keys in a crowd), with an anchor (any form that ranks
+Forms that share a common token, and the first letter of the other token, with an anchor (any form that ranks
 higher; of one token, if both have one only) are aligned with it: tokens are assigned to each other in the cheapest way, where an edit, an abbreviation or an initial has a
 cost. Every form takes at most one parent, the cheapest anchor that ranks higher, so links are as many as forms at most,
 and entities are the trees that result.
@@ -63,7 +63,7 @@ ALIAS = re.compile(r"[\s,(]+(?:d\s?/\s?b\s?/\s?a|dba|d\.b\.a\.|f/k/a|fka|a/k/a|a
 LEET = str.maketrans({"0": "o", "3": "e", "5": "s"})
 FORM = "a string, b string, mid string, biz string, legal string"
 
-#: Different anchors that a key may have before finer keys take its place.
+#: Different anchors of a key that one task compares with the key's forms; more are spread over blocks.
 CROWD = 5_000
 
 #: Costs of aligned tokens, and what two tokens together may cost.
@@ -381,35 +381,44 @@ def _probes(forms: DataFrame, common: DataFrame) -> DataFrame:
     """(id, key, stands): where a form is looked for: under a common token and the first letter of the other token.
 
     A form of one token stands under its common token, where those of one token meet; of tokens that were run together every
-    cut is tried too, and under those it doesn't stand as an anchor (``stands``). A key under which more than CROWD different anchors stand is
-    replaced, for all its forms, by finer ones: the first two letters of the other token without vowels, which
-    abbreviations keep; where those are crowded too, the same with the business and with the legal form; and always the
-    pair of common tokens. What has none of these, an initial without business or legal form, fits several of so many
-    anchors and so is linked with none anyway.
+    cut is tried too, and under those it doesn't stand as an anchor (``stands``).
     """
-    pair = lambda t, o: F.struct(t.alias("token"), o.alias("other"))
-    a, b = F.col("a"), F.col("b")
+    pair = lambda t, o: F.struct(t.alias("token"), F.substring(o, 1, 1).alias("first"))
+    a, b, several = F.col("a"), F.col("b"), _listed()
     head, rest = lambda i: F.substring(a, F.lit(1), i), lambda i: F.substring(a, i + 1, F.length(a))
     cuts = F.flatten(F.transform(F.sequence(F.lit(3), F.length(a) - 3), lambda i: F.array(pair(head(i), rest(i)), pair(rest(i), head(i)))))
-    several = _listed()
-    both_ways = F.array_distinct(F.flatten(F.transform(several, lambda t, i: F.transform(F.filter(several, lambda o, j: j != i), lambda o: pair(t, o)))))
-    line = F.when(F.length("biz") == 2, F.col("biz")).otherwise(F.array_join(F.transform(F.split("biz", " "), lambda w: F.substring(w, 1, 1)), ""))
-    asked = forms.select("id", (b != "").alias("anchor"), "mid", line.alias("line"), "legal", F.explode(F.when(b != "", both_ways).when(F.length(a) >= 8, cuts)).alias("p")).select("id", "anchor", "mid", "line", "legal", "p.token", "p.other").where(F.length("token") >= 3)
-    named = asked.join(common, "token").join(common.select(F.col("token").alias("other"), F.col("common").alias("second")), "other", "left")
-    bare = F.concat(F.substring("other", 1, 1), F.regexp_replace(F.substring("other", 2, 200), "[aeiou]", ""))
-    both = F.array_sort(F.array("common", "second"))
-    two = F.when(F.length(bare) > 1, F.concat_ws("|", "common", F.substring(bare, 1, 2), F.lit("2")))
-    group = F.when(F.col("anchor"), F.xxhash64(both, "mid", "line", "legal"))
-    keys = named.select("id", "line", "legal", group.alias("g"), F.concat_ws("|", "common", F.substring("other", 1, 1)).alias("k1"), two.alias("k2"), F.when(F.col("second").isNotNull(), F.concat_ws("|", both, F.lit("3"))).alias("k3"))
-    crowded = lambda k, n: keys.where("g is not null").select(k, "g").distinct().groupBy(k).agg(F.count("*").alias(n)).where(F.col(n) > CROWD)
-    told = keys.join(crowded("k1", "n1"), "k1", "left").join(crowded("k2", "n2"), "k2", "left")
-    with_ = lambda c: F.when(F.col(c) != "", F.concat_ws("|", "k2", F.lit(c), c))
-    finer = F.concat(F.when(F.col("n2").isNull(), F.array("k2")).otherwise(F.array(with_("line"), with_("legal"))), F.array("k3"))
-    paired = told.select("id", F.explode(F.array_compact(F.when(F.col("n1").isNull(), F.array("k1")).otherwise(finer))).alias("key"), F.col("g").isNotNull().alias("stands")).distinct()
-    single = forms.where(b == "").select("id", a.alias("token")).join(common, "token", "left").select("id", F.concat_ws("|", F.coalesce("common", "token"), F.lit("1")).alias("key"), F.lit(True).alias("stands"))
+    both_ways = F.flatten(F.transform(several, lambda t, i: F.array_distinct(F.transform(F.filter(several, lambda o, j: j != i), lambda o: pair(t, o)))))
+    asked = forms.select("id", (b != "").alias("stands"), F.explode(F.when(b != "", both_ways).when(F.length(a) >= 8, cuts)).alias("p")).select("id", "stands", "p.token", "p.first").where(F.length("token") >= 3)
+    paired = asked.join(common, "token").select("id", F.concat_ws("|", "common", "first").alias("key"), "stands").distinct()
+    single = forms.where(b == "").select("id", a.alias("token")).join(common, "token", "left").select("id", F.concat_ws("|", F.coalesce("common", "token"), F.lit("")).alias("key"), F.lit(True).alias("stands"))
     return paired.unionByName(single)
 
 
+def _may_agree(x: str, y: str) -> Column:
+    """False only where ``form_cost`` has no cost whatever the tokens are: told things differ, or given names do."""
+    of = lambda c: (F.col(f"{x}.{c}"), F.col(f"{y}.{c}"))
+    open_ = lambda p, q: (p == "") | (q == "") | (p == q)
+    p, q = of("biz")
+    within = lambda s, w: F.size(F.array_except(F.split(s, " "), F.split(w, " "))) == 0
+    given, other = of("a")
+    people = given.isin(*SHORT_NAMES) & other.isin(*SHORT_NAMES) & (given != other) & (p == "") & (q == "")
+    return open_(*of("legal")) & open_(*of("mid")) & ~people & (open_(p, q) | (F.length(p) == 2) | (F.length(q) == 2) | within(p, q) | within(q, p))
+
+
+def _met(asked: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Forms (id, key, rank, form) with every higher-ranking anchor (key, to_rank, to_form) of a key that may agree.
+
+    Anchors of a key beyond CROWD are spread over blocks, each of which meets all forms of the key, so that a crowded key is
+    shared by many tasks; no pair is left out.
+    """
+    most = max(CROWD, 1)
+    crowded = anchors.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("blocks"))
+    blocks = F.coalesce("blocks", F.lit(1))
+    left = asked.join(crowded, "key", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+    right = anchors.join(crowded, "key", "left").withColumn("block", F.pmod(F.xxhash64("to_rank.id"), blocks).cast("int")).drop("blocks")
+    return left.join(right, ["key", "block"]).where((F.col("to_rank") > F.col("rank")) & _may_agree("form", "to_form"))
+
+
 def linked_forms(forms: DataFrame) -> DataFrame:
     """(id, root) of forms (id, a, b, mid, biz, legal, f); a root stands for an entity."""
     tokens = forms.select(F.explode(_listed()).alias("token"), "f").where(F.length("token") >= 3).groupBy("token").agg(F.sum("f").alias("f"))
@@ -424,8 +433,8 @@ def linked_forms(forms: DataFrame) -> DataFrame:
     kept = ranked.select("id", "rank", "form")
     # Anchors: of a key and entity-like group of forms, only the highest-ranking stands for the others.
     anchors = probes.where("stands").join(ranked, "id")
-    anchors = anchors.groupBy("key", "commons", "mid", "biz", "legal").agg(F.max(F.struct("rank", "form")).alias("m")).select("key", F.col("m.rank").alias("to_rank"), F.col("m.form").alias("to_form"))
-    pairs = probes.join(kept, "id").join(anchors, "key").where(F.col("to_rank") > F.col("rank")).select("id", "rank", "form", "to_rank", "to_form").dropDuplicates(["id", "to_rank"])
+    anchors = settle(anchors.groupBy("key", "commons", "mid", "biz", "legal").agg(F.max(F.struct("rank", "form")).alias("m")).select("key", F.col("m.rank").alias("to_rank"), F.col("m.form").alias("to_form")), "anchors")
+    pairs = _met(probes.join(kept, "id"), anchors).select("id", "rank", "form", "to_rank", "to_form").dropDuplicates(["id", "to_rank"])
     scored = pairs.withColumn("cost", _cost("form", "to_form")).where("cost is not null")
     best = Window.partitionBy("id")
     scored = scored.withColumn("least", F.min("cost").over(best)).where(F.col("cost") <= F.col("least") + 0.2)
@@ -449,8 +458,9 @@ def entities(names: DataFrame, column: str = "name") -> DataFrame:
     letter or digit is linked with none. Repeated rows change nothing, very long names are read whole. An empty table
     gives no rows. Other columns play no part.
 
-    Scale: work is by distinct spelling, then by distinct form, then by distinct token; no step lists the pairs of a
-    group. A spelling with k tokens of n letters makes k * n index entries.
+    Scale: work is by distinct spelling, then by distinct form, then by distinct token; forms are compared with all
+    anchors under their keys, so a key's work is its forms times its anchors, in blocks of CROWD anchors. A spelling with k
+    tokens of n letters makes k * n index entries.
     """
     distinct = names.select(F.col(f"`{column}`").alias("name")).where("name is not null").distinct()
     read = settle(distinct.mapInPandas(_read_all, "name string, " + FORM), "names").withColumn("id", F.concat_ws("|", "a", "b", "mid", "biz", "legal"))

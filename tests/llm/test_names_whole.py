@@ -42,3 +42,18 @@ def test_assignment():
 def test_names_of_three_tokens(spark):
     same = [{"Lockheed Martin Space Corp", "Martin Lockheed Space Corp", "Space Lockheed Martn Corp", "Lockheed M. Space Corp", "LOCKHEEDMARTINSPACE CORP"}, {"Harborline Quistel Catering", "Quistel Harborlin Catering"}, {"Harborline Mordane Catering"}]
     assert groups(spark, set().union(*same)) == set(map(frozenset, same))
+
+
+@pytest.mark.parametrize("crowd", [5_000, 2, 1, 0])
+def test_crowds_lose_no_form(spark, monkeypatch, crowd):
+    monkeypatch.setattr(n, "CROWD", crowd)
+    same = [
+        {"Ribraex Kidaick Archive Holdings LP", "R. Kidaick Archive Holdings LP", "Rbrx Kidaick AH LP", "Ribra Kidaick"},
+        {"Rostrade Kidaick Data Systems Inc", "R. Kidaick Data Sys Inc"},
+        {"Randune Kidaick Computing LLC", "Kidaick R. Computing"},
+        {"William Kastrode", "Kastrode, W.T.", "bill kastrode", "W. Kastrode "},
+        {"Margaret Kastrode"},
+        {"Boeing Co", "Boeing"},
+        {"Lockheed Martin Space Corp", "L. Space Martin Corp"},
+    ]
+    assert groups(spark, set().union(*same)) == set(map(frozenset, same))
