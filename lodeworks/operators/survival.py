@@ -12,7 +12,7 @@ from datetime import date
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.sources.shared import settle
@@ -180,6 +180,27 @@ def at_risk(life: DataFrame, installed: str, removed: str, cutoffs: list[date],
     return rows.where(there).withColumn("age", F.datediff("cutoff", F.to_date(installed)) / F.lit(365.25)).withColumn("label", F.coalesce((r <= F.date_add("cutoff", horizon_days)), F.lit(False)).cast("int"))
 
 
+def age_auc(windows: DataFrame, least: int = 50) -> DataFrame:
+    """(cutoff, n, events, auc, inverted) of each window of ``at_risk``: how well age ranks what goes within the horizon.
+
+    Windows of fewer than ``least`` rows or without an event are left out; ``auc`` is null where all went. Rows fold to
+    distinct ages first, of which whole days leave few, so the running sums of a window run over those.
+    """
+    ages = windows.groupBy("cutoff", "age").agg(F.count("*").alias("n"), F.sum("label").alias("d"))
+    younger = Window.partitionBy("cutoff").orderBy("age").rowsBetween(Window.unboundedPreceding, -1)
+    under = F.coalesce(F.sum(F.col("n") - F.col("d")).over(younger), F.lit(0))
+    right = F.col("d") * (under + (F.col("n") - F.col("d")) / 2)
+    g = ages.withColumn("right", right).groupBy("cutoff").agg(F.sum("n").alias("n"), F.sum("d").alias("events"), F.sum("right").alias("right")).where((F.col("n") >= least) & (F.col("events") > 0))
+    auc = F.try_divide(F.col("right"), F.col("events") * (F.col("n") - F.col("events")))
+    return g.select("cutoff", "n", "events", auc.alias("auc"), F.coalesce(auc < 0.5, F.lit(False)).alias("inverted"))
+
+
+def age_direction(aucs: DataFrame) -> DataFrame:
+    """One row: windows that count, how many are inverted, and ``youngest_first`` if more than half are, else ``oldest_first``."""
+    g = aucs.agg(F.count("*").alias("windows"), F.count_if("inverted").alias("inverted"))
+    return g.withColumn("direction", F.when(F.col("inverted") * 2 > F.col("windows"), "youngest_first").otherwise("oldest_first"))
+
+
 def prefer_model(model: dict[str, float], baseline: dict[str, float]) -> str:
     """``model`` only if it ranks better and errs less than the baseline, both on held-out rows; else ``baseline``."""
     return "model" if model["auc"] > baseline["auc"] and model["brier"] < baseline["brier"] else "baseline"

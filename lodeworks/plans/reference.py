@@ -623,6 +623,27 @@ def u8_windows(spark, sf):
     return survival.at_risk(_life(spark, sf), "start_date", "end_date", _CUTOFFS, P.horizon_days).groupBy("cutoff").agg(F.count("*").alias("n"), F.sum("label").alias("events"))
 
 
+_AGE_AUC = f"""{_LIFE}, c AS (SELECT unnest([{", ".join(f"DATE '{d}'" for d in _CUTOFFS)}]) AS cutoff),
+w AS (SELECT cutoff, date_diff('day', i, cutoff) AS age, CAST(coalesce(r <= cutoff + {P.horizon_days}, false) AS INTEGER) AS y FROM l3, c WHERE drop_reason IS NULL AND i <= cutoff AND (r IS NULL OR r > cutoff)),
+k AS (SELECT *, rank() OVER (PARTITION BY cutoff ORDER BY age) + (count(*) OVER (PARTITION BY cutoff, age) - 1) / 2.0 AS rk FROM w),
+a AS (SELECT cutoff, count(*) AS n, CAST(sum(y) AS BIGINT) AS events, (sum(rk) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * (count(*) - sum(y)), 0) AS auc FROM k GROUP BY 1 HAVING count(*) >= 50 AND sum(y) > 0)"""
+
+
+def _age_auc(spark, sf):
+    return survival.age_auc(survival.at_risk(_life(spark, sf), "start_date", "end_date", _CUTOFFS, P.horizon_days))
+
+
+@query(f"WITH {_AGE_AUC} SELECT *, coalesce(auc < 0.5, false) AS inverted FROM a")
+def u8_age_auc(spark, sf):
+    return _age_auc(spark, sf)
+
+
+@query(f"WITH {_AGE_AUC} SELECT count(*) AS windows, count(*) FILTER (WHERE auc < 0.5) AS inverted, CASE WHEN 2 * count(*) FILTER (WHERE auc < 0.5) > count(*) THEN 'youngest_first' ELSE 'oldest_first' END AS direction FROM a")
+def u8_age_direction(spark, sf):
+    """The direction of age as a baseline, by the majority of the windows before the cutoff."""
+    return survival.age_direction(_age_auc(spark, sf))
+
+
 _SCORED = f"""{_EPISODES}, sc AS (SELECT account, count(*) FILTER (WHERE day <= DATE '{P.train_cutoff}') AS past, date_diff('day', max(day) FILTER (WHERE day <= DATE '{P.train_cutoff}'), DATE '{P.train_cutoff}') AS elapsed,
   CAST(bool_or(day > DATE '{P.train_cutoff}' AND day <= DATE '{P.train_cutoff}' + {P.horizon_days}) AS INTEGER) AS y FROM eps GROUP BY 1),
 scored AS (SELECT account, y, past, elapsed, 1 / (1 + elapsed / 180.0) AS p FROM sc WHERE past > 0)"""
