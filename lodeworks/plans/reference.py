@@ -593,6 +593,12 @@ def a22_rising_from(spark, sf):
     return curves.rising_from(_hazard(spark, sf), 100, factor=1.0)
 
 
+@query(f"WITH {_HAZARD}, f AS (SELECT * FROM hz WHERE exposure > 100) SELECT min(yearly) AS floor, coalesce(min(CAST(bucket AS DOUBLE)) FILTER (WHERE yearly >= 2.0 * (SELECT min(yearly) FROM f)), 5.0) AS threshold FROM f")
+def a22_doubled_from(spark, sf):
+    """Where the hazard is twice its floor, as the survey has it; ``a22_rising_from`` asks for the floor itself."""
+    return curves.rising_from(_hazard(spark, sf), 100)
+
+
 _LIFE = f"""life AS (SELECT contract_award_unique_key, start_date, end_date, start_date::DATE AS i, end_date::DATE AS r, DATE '2015-01-01' AS lo, {AS_OF} AS nw FROM contracts),
 l2 AS (SELECT *, coalesce(r <= nw, false) AS gone, CASE WHEN coalesce(r <= nw, false) THEN r ELSE nw END AS en, greatest(i, lo) AS st FROM life),
 l3 AS (SELECT *, CASE WHEN i IS NULL THEN 'no_install' WHEN r < i THEN 'removed_before_install' WHEN gone AND r < lo THEN 'removed_before_window' WHEN en <= st THEN 'no_time_observed' END AS drop_reason FROM l2)"""

@@ -24,3 +24,12 @@ def test_direction_of_age(spark):
     assert sorted(map(tuple, aucs.collect())) == [("a", 60, 20, 0.0, True), ("b", 60, 10, 0.5, False)]
     assert tuple(survival.age_direction(aucs).first()) == (2, 1, "oldest_first")
     assert survival.age_direction(aucs.where("inverted")).first()["direction"] == "youngest_first"
+
+
+def test_doubled_hazard_is_not_the_floor(spark):
+    from lodeworks.operators import curves
+
+    curve = spark.createDataFrame([(b, 200, y) for b, y in enumerate([0.1, 0.15, 0.2, 0.4])], "bucket int, exposure long, yearly double")
+    assert tuple(curves.rising_from(curve, 100).first()) == (0.1, 2.0)
+    assert tuple(curves.rising_from(curve.where("bucket < 2"), 100).first()) == (0.1, 5.0)
+    assert "a22_doubled_from" in entry.queries()
