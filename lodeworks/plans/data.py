@@ -166,9 +166,20 @@ def p6_found(spark, sf):
     return tree.heavy_keys(*_totals(spark, sf), share=DEFAULT.hot_share)
 
 
+def _days(totals: DataFrame) -> DataFrame:
+    return totals.select("field_name", "key_value", "n", "total", F.date_format("first_at", "yyyy-MM-dd").alias("first_day"), F.date_format("last_at", "yyyy-MM-dd").alias("last_day"))
+
+
 @query(_P6 + "SELECT * FROM g")
 def p6_key_totals(spark, sf):
-    return _totals(spark, sf)[0].select("field_name", "key_value", "n", "total", F.date_format("first_at", "yyyy-MM-dd").alias("first_day"), F.date_format("last_at", "yyyy-MM-dd").alias("last_day"))
+    return _days(_totals(spark, sf)[0])
+
+
+@query(_P6 + "SELECT * FROM g")
+def p6_deep_tree(spark, sf):
+    """The same totals over a tree that merges two by two in five rounds, with chunks of no more than what one of 32 nodes takes."""
+    contracts = table(spark, sf, "contracts").repartition(32)
+    return _days(tree.key_totals(contracts, ["account_id", "recipient_entity_id"], "award_amount", "base_obligation_date", fan_in=2, rounds=5))
 
 
 # 7. overlapping and gapped intervals

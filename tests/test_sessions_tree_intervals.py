@@ -61,6 +61,21 @@ def test_rounds():
     assert [tree.rounds_of(n, 4) for n in (0, 1, 4, 5, 16, 17)] == [1, 1, 1, 2, 2, 3]
 
 
+def test_a_key_comes_once_whatever_the_plan_becomes(spark):
+    """A join whose pruned side is broadcast runs in more partitions than the plan has at first."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 25_000)
+    try:
+        rows = spark.range(0, 200_000, 1, 40).withColumn("k", F.col("id") % 5)
+        small = spark.range(5).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 20_000).alias("wide"))
+        df = rows.join(small, "k")
+        for how in ({}, {"fan_in": 2}, {"fan_in": 2, "rounds": 4}, {"rounds": 1}):
+            got = tree.tree_aggregate(df, ["k"], {"n": F.count("*")}, {"n": F.sum}, **how).collect()
+            assert sorted(tuple(r) for r in got) == [(k, 40_000) for k in range(5)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def days_of(periods):
     return {(int(e), d) for e, s, t in periods for d in range(int(s), int(t) + 1)}
 
