@@ -117,6 +117,43 @@ def test_entities_across_batches(spark, monkeypatch):
     assert len(got) == len(set(got)) and {(k, d) for k, s, t in got for d in range(s, t + 1)} == {(k, d) for k, s, t in rows for d in range(s, t + 1)}
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 20_000), st.integers(0, 14_000)), min_size=1, max_size=20))
+def test_cells_put_together_are_the_intervals(items):
+    s = np.array([a for a, _ in items])
+    t = s + np.array([n for _, n in items])
+    at, cell, lo, hi = intervals.by_cell(s, t)
+    for i in range(len(s)):
+        parts = sorted(zip(lo[at == i], hi[at == i]))
+        assert parts[0][0] == s[i] and parts[-1][1] == t[i] and all(b[0] == a[1] + 1 for a, b in zip(parts, parts[1:])) and len(parts) <= 3
+    size = 1 << intervals.CELL
+    assert all(a // size == b // size == c if c >= 0 else a % size == 0 and (b + 1) % size == 0 for a, b, c in zip(lo, hi, cell))
+
+
+@pytest.mark.parametrize("rows", [7, 200_000])
+@pytest.mark.parametrize("fan_in", [2, 1024])
+def test_long_lives_of_a_hot_entity(spark, monkeypatch, rows, fan_in):
+    monkeypatch.setattr(intervals, "BATCH_ROWS", rows)
+    rnd = random.Random(rows)
+    data = [(rnd.choice(["hot"] * 5 + ["a", "b"]), s := rnd.randrange(-30_000, 90_000), s + rnd.choice([0, 1, 30, 5_000, 20_000][: rnd.choice([3, 3, 3, 5])])) for _ in range(400)]
+    day = F.date_from_unix_date
+    df = spark.createDataFrame(data, "k string, s int, t int").repartition(9).select("k", day("s").alias("s"), day("t").alias("t"))
+    got = sorted(tuple(r) for r in intervals.periods_and_gaps(df, "k", "s", "t", fan_in).collect())
+    want = []
+    for k in ("a", "b", "hot"):
+        open_ = None
+        for s, t in [*sorted((s, t) for e, s, t in data if e == k), (10**9, 10**9)]:
+            if open_ and s <= open_[1] + 1:
+                open_ = (open_[0], max(open_[1], t))
+                continue
+            if open_:
+                want.append((k, "period", *open_))
+                if s < 10**9:
+                    want.append((k, "gap", open_[1] + 1, s - 1))
+            open_ = (s, t)
+    assert got == sorted(want)
+
+
 def test_no_amount_is_zero(spark):
     (r,) = tree.key_totals(spark.createDataFrame([("a", None, None)], "a string, x double, at timestamp_ntz"), ["a"], "x", "at").select(F.col("total"), "first_at").collect()
     assert r.total == 0.0 and r.first_at is None
