@@ -220,7 +220,7 @@ def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, fan_in: i
     nodes = chunks_of(df)
     while nodes > fan_in:
         nodes = math.ceil(nodes / fan_in)
-        some = parts.withColumn("node", F.pmod(F.spark_partition_id(), F.lit(nodes)))
+        some = parts.withColumn("node", F.pmod(F.spark_partition_id(), F.lit(nodes)).cast("int"))
         parts = some.repartition("k", "cell", "node").sortWithinPartitions("k", "cell", "node", "s").mapInArrow(_joined(["k", "cell", "node"], False), "k string, cell int, node int, s int, t int").drop("node")
     cells = parts.repartition("k", "cell").sortWithinPartitions("k", "cell", "s").mapInArrow(_joined(["k", "cell"], False), "k string, cell int, s int, t int")
     final = cells.select("k", "s", "t").repartition("k").sortWithinPartitions("k", "s").mapInArrow(_final, "k string, kind string, s int, t int")

@@ -17,13 +17,13 @@ from lodeworks.functions.columns import exact, free_name
 
 
 def chunks_of(df: DataFrame) -> int:
-    """How many chunks the plan's sources make, by their sizes: read off the plan, nothing runs. Rounds are laid out by it; no
-    result depends on it."""
+    """How many chunks the plan's sources make, by their sizes: read off the plan, nothing runs. A source of unknown size
+    counts as one chunk a core. Rounds are laid out by it; no result depends on it."""
     spark = df.sparkSession
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(float(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    sizes = [float(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     chunk = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    return int(max(math.ceil(min(size, 1e18) / chunk), spark.sparkContext.defaultParallelism))
+    return max(math.ceil(sum(n for n in sizes if n < 2.0**60) / chunk), spark.sparkContext.defaultParallelism)
 
 
 def rounds_of(chunks: int, fan_in: int) -> int:
