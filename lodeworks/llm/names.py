@@ -1,20 +1,22 @@
 """Linking the spellings of one organisation or person.
 
-Each distinct spelling is read into a form: distinctive tokens, line of business, legal form. A symmetric-delete index over
-the distinct tokens finds tokens a small edit apart and gives each the most frequent of its neighbours as common token.
-Forms that share a common token, and the first letter of the other token, with an anchor (any form that ranks
-higher; of one token, if both have one only) are aligned with it: tokens are assigned to each other in the cheapest way, where an edit, an abbreviation or an initial has a
-cost. Every form takes at most one parent, the cheapest anchor that ranks higher, so links are as many as forms at most,
-and entities are the trees that result.
+Each distinct spelling is read into a form: distinctive tokens, line of business, legal form. Which words tell a line of
+business is a general vocabulary, widened by the words that very many firms of the table have; which of them stand together
+is counted in the table. A symmetric-delete index over the distinct tokens finds tokens a small edit apart and gives each the
+nearest, most frequent of its neighbours as common token. Forms that share a common token, and the first letter of the other
+token, with an anchor (any form that ranks higher; of one token, if both have one only) are aligned with it: tokens are
+assigned to each other in the cheapest way, where an edit, an abbreviation or an initial has a cost. Every form takes at most
+one parent, the cheapest anchor that ranks higher, so links are as many as forms at most, and entities are the trees that
+result.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
-from itertools import islice, permutations, product
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,20 +25,12 @@ from pyspark.sql.types import DoubleType
 
 from lodeworks.sources.shared import settle
 
-# Legal forms, lines of business, titles, given names and their short forms.
+# Legal forms, titles, given names and their short forms.
 LEGAL = {
     "inc": "inc", "incorporated": "inc", "corp": "corp", "corporation": "corp", "co": "co", "company": "co",
     "ltd": "ltd", "limited": "ltd", "llc": "llc", "lp": "lp", "llp": "llp", "plc": "plc", "gmbh": "gmbh",
 }
 LEGAL_PHRASES = {"limited liability company": "llc", "limited liability partnership": "llp", "limited partnership": "lp"}
-BUSINESS = [
-    "archive holdings", "computing", "data systems", "digital infrastructure", "engineering", "equipment controls",
-    "federal supply", "government products", "information technologies", "logistics group", "management consulting",
-    "manufacturing", "marine contracting", "network integration", "offshore decommissioning", "power cooling",
-    "records management", "research associates", "salvage towing", "storage solutions", "technical services",
-    "construction", "consulting", "electronics", "energy", "holdings", "industries", "laboratories", "logistics",
-    "security", "services", "solutions", "systems", "technologies", "transport", "international", "partners",
-]
 TITLES = {"dr", "mr", "mrs", "ms", "prof", "sir", "jr", "sr", "ii", "iii", "esq", "phd", "md"}
 FILLERS = {"the", "and", "of", "group", "grp"}
 SHORT_NAMES = {
@@ -56,9 +50,24 @@ SHORT_NAMES = {
     "zachary": "zack zach zac",
 }
 GIVEN = {s: full for full, short in SHORT_NAMES.items() for s in [full, *short.split()]}
-WORDS = sorted({w for p in BUSINESS for w in p.split()} - {"group"})
-PHRASES = {frozenset(p.split()): p for p in BUSINESS}
-INITIALS = {"".join(w[0] for w in p.split()) for p in BUSINESS if " " in p}
+#: Common words of lines of business, of any trade; words that a table's firms have besides are learned from it.
+LINE_WORDS = """
+accounting advisors aerospace agriculture apparel appliances archive associates automation automotive aviation bank biotech builders
+building capital cargo catering cement center chemical cleaning communications components computer computing construction consultants
+consulting contracting contractors controls cooling data decommissioning defense dental design development digital distribution
+dynamics education electric electrical electronics energy engineering enterprises entertainment environmental equipment express
+fabrication fashion federal films finance financial fitness foods forestry foundation freight furniture gas general global government
+graphics hardware hauling healthcare heating holdings hospital industrial industries information infrastructure innovations instruments
+integration international investments janitorial laboratories labs landscaping leasing legal lighting logistics lumber machinery
+maintenance management manufacturing marine marketing masonry materials mechanical media medical metals mining motors moving national
+natural network offshore oil packaging painting partners petroleum pharmaceuticals pharmacy plastics plumbing power printing processing
+products properties publishing railway realty records recycling rental repair research resources retail robotics safety salvage
+scientific security services shipping software solar solutions steel storage supply systems technical technologies technology telecom
+towing trading training transport transportation travel trucking utilities warehousing waste welding wholesale works
+""".split()
+#: A word is learned if it stands in this share of all distinct spellings, and in LEARNED_LEAST of them, mostly along with a legal
+#: form; a phrase of such words if it stands in the smaller share. So words are at most tokens a spelling / LEARNED_SHARE.
+LEARNED_SHARE, LEARNED_LEAST, PHRASE_SHARE = 0.01, 20, 0.0005
 ALIAS = re.compile(r"[\s,(]+(?:d\s?/\s?b\s?/\s?a|dba|d\.b\.a\.|f/k/a|fka|a/k/a|aka|doing business as|formerly known as)\b\.?[\s,:]*")
 LEET = str.maketrans({"0": "o", "3": "e", "5": "s"})
 FORM = "a string, b string, mid string, biz string, legal string"
@@ -122,26 +131,66 @@ def token_cost(x: str, y: str) -> float | None:
     return None
 
 
-def _business(token: str) -> list[str]:
-    """The words of lines of business that the token is or abbreviates."""
-    if token in WORDS:
-        return [token]
-    if len(token) < 3 or token in FILLERS:
-        return []
+def abbreviates(token: str, word: str) -> bool:
+    """``token`` is a short way to write ``word``: its beginning, its consonants or some letters after the same first three."""
+    if not 3 <= len(token) <= min(7, len(word) - 2) or token[0] != word[0]:
+        return False
+    if word.startswith(token):
+        return True
     bare = token == _skeleton(token) or token[:-1] == _skeleton(token[:-1])
-    short = [w for w in WORDS if len(token) <= 7 and len(token) + 2 <= len(w) and (w.startswith(token) or w.startswith(token[:3]) and shortened(token, w) or bare and shortened(token, w))]
-    return short or [w for w in WORDS if len(token) >= 6 and token[0] == w[0] and osa(token, w, 1) == 1]
+    return (word[:3] == token[:3] or bare and len(token) >= 0.35 * len(_skeleton(word))) and shortened(token, word)
 
 
-def _line(words: list[list[str]]) -> str:
-    """One line of business of words that may each be read in several ways."""
-    for reading in islice(product(*words), 256):
-        if frozenset(reading) in PHRASES:
-            return PHRASES[frozenset(reading)]
-    return " ".join(sorted({w[0] for w in words}))
+class Lines:
+    """Words of lines of business with the number of spellings that have them, and phrases of them with theirs.
 
+    Where a table's words are given, a token abbreviates only such as stand in it somewhere.
+    """
 
-def _read_part(text: str) -> tuple[list[str], str, str]:
+    def __init__(self, words: Iterable[tuple[str, int]] | None = None, phrases: Iterable[tuple[tuple[str, ...], int]] = ()):
+        counts = dict(words or ())
+        self.words = {w: 0 for w in LINE_WORDS} | counts
+        self.phrases = {frozenset(p): n for p, n in phrases if len(p) > 1}
+        self.initials = {"".join(sorted(w[0] for w in p)) for p in self.phrases}
+        self._first: dict[str, list[str]] = defaultdict(list)
+        for w in sorted(self.words if words is None else counts):
+            self._first[w[0]].append(w)
+        self._within: dict[str, list[frozenset[str]]] = defaultdict(list)
+        for p in self.phrases:
+            for w in p:
+                self._within[w].append(p)
+        self._read: dict[str, list[str]] = {}
+
+    def words_for(self, token: str) -> list[str]:
+        """The words that the token is or abbreviates."""
+        if token in self.words:
+            return [token]
+        if len(token) < 3 or token in FILLERS:
+            return []
+        if token not in self._read:
+            same = self._first.get(token[0], [])
+            short = [w for w in same if abbreviates(token, w)]
+            self._read[token] = short or [w for w in same if len(token) >= 6 and osa(token, w, 1) == 1]
+        return self._read[token]
+
+    def line(self, options: list[list[str]]) -> str:
+        """One line of business of words that may each be read in several ways: the most frequent phrase that they can be, or
+        of each the most frequent word."""
+        sure = {o[0] for o in options if len(o) == 1}
+        open_ = [o for o in options if len(o) > 1]
+        if open_:
+            start = [next(iter(sure))] if sure else open_[0]
+            fits = {p for w in start for p in self._within.get(w, ()) if sure <= p and len(p) <= len(options) and all(p & set(o) for o in open_)}
+            if fits:
+                return " ".join(sorted(max(fits, key=lambda p: (self.phrases[p], sorted(p)))))
+            sure |= {max(o, key=lambda w: (self.words[w], w)) for o in open_}
+        return " ".join(sorted(sure))
+
+
+PLAIN = Lines()
+
+
+def _read_part(text: str, lines: Lines) -> tuple[list[str], str, str]:
     """(other tokens, line of business, legal form) of one name without its alias."""
     text = re.sub(r"\b([a-z])\.\s?(?=[a-z]\b)", r"\1", text.replace("&", " and ").replace("'", ""))
     legal = ""
@@ -157,41 +206,42 @@ def _read_part(text: str) -> tuple[list[str], str, str]:
             rest.append(t)
     kept, words = [], []
     for t in rest:
-        w = _business(t) if t not in GIVEN else []
+        w = lines.words_for(t) if t not in GIVEN else []
         if w:
             words.append(w)
         elif t not in FILLERS:
             kept.append(t)
-    if ["logistics"] in words and {"group", "grp"} & set(rest):
-        words.append(["group"])
-    biz = _line(words) if words else ""
-    if not biz and len(kept) >= 2:
-        two = [t for t in kept if len(t) == 2 and t in INITIALS]
-        if two and (legal or len(kept) >= 3):
-            biz = two[-1]
-            kept.remove(two[-1])
+    biz = lines.line(words) if words else ""
+    if not biz and len(kept) > 1:
+        known = [t for t in kept if len(t) > 1 and "".join(sorted(t)) in lines.initials]
+        two = [t for t in kept if len(t) == 2 and t.isalpha() and legal and (len(kept) > 2 or max(map(len, kept)) >= 8)]
+        if (known and (legal or len(kept) > 2)) or two:
+            told = known[-1] if known and (legal or len(kept) > 2) else two[-1]
+            biz = "." + "".join(sorted(told))
+            kept.remove(told)
     return kept, biz, legal
 
 
-def read_name(name: str | None) -> tuple[str, str, str, str, str] | None:
+def read_name(name: str | None, lines: Lines = PLAIN) -> tuple[str, str, str, str, str] | None:
     """(a, b, mid, biz, legal) of a spelling; None if it has no letter or digit.
 
     ``a`` and ``b`` are the distinctive tokens in alphabetical order, for persons given name and surname; ``b`` is empty if
     there is one token only (as when two were run together). Of more tokens ``b`` holds all but the first, in order, joined by blanks.
+    ``biz`` is the words of the line of business in order, or a dot and the initials of such words.
     """
     if name is None:
         return None
     s = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c))
     s = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", s).casefold().strip()
     main, *alias = ALIAS.split(" " + s, maxsplit=1)
-    kept, biz, legal = _read_part(main)
+    kept, biz, legal = _read_part(main, lines)
     if alias:
-        other, biz2, _ = _read_part(alias[0])
+        other, biz2, _ = _read_part(alias[0], lines)
         biz = biz or biz2
         kept = kept or other
-    if not kept:
-        words = re.findall(r"[^\W_]+", s)
-        return (" ".join(words), "", "", "", "") if words else None
+    if not kept:  # nothing but words of lines of business: they are the name
+        first, *more = sorted(t for t in re.findall(r"[^\W_]+", main) if t not in LEGAL) or sorted(re.findall(r"[^\W_]+", s)) or [""]
+        return (first, " ".join(more), "", "", legal) if first else None
     mid = ""
     if not biz and not legal:
         kept = [x for t in kept for x in (list(t) if len(t) == 2 and len(kept) == 2 and t not in GIVEN else [t])]
@@ -212,13 +262,16 @@ def read_name(name: str | None) -> tuple[str, str, str, str, str] | None:
     return a, " ".join(more), mid, biz, legal
 
 
-def _biz_agrees(x: str, y: str) -> bool:
+def _lines_agree(x: str, y: str) -> bool:
+    """Two lines of business can be one: one isn't told, one has all words of the other, or one is the other's initials."""
     if not x or not y or x == y:
         return True
-    s, w = sorted((x, y), key=len)
-    if len(s) == 2 and " " in w:
-        return s == "".join(p[0] for p in w.split())
-    return len(s) > 2 and set(s.split()) < set(w.split())
+    if x[0] == "." or y[0] == ".":
+        short, whole = (x, y) if x[0] == "." else (y, x)
+        letters = [w[0] for w in whole.split()]
+        return short[1:] in ("".join(sorted(letters)), "".join(sorted([*letters, "g"])))  # a group's letter may be among them
+    p, q = set(x.split()), set(y.split())
+    return p < q or q < p
 
 
 def assigned(costs: list[list[float]]) -> list[int]:
@@ -310,7 +363,7 @@ def _run_together(one: str, tokens: list[str]) -> float | None:
 
 def form_cost(x: tuple[str, ...], y: tuple[str, ...]) -> float | None:
     """Cost of taking two forms for one entity, by the cheapest assignment of their tokens; None if they can't be."""
-    if not _biz_agrees(x[3], y[3]) or x[4] and y[4] and x[4] != y[4] or x[2] and y[2] and x[2] != y[2]:
+    if not _lines_agree(x[3], y[3]) or x[4] and y[4] and x[4] != y[4] or x[2] and y[2] and x[2] != y[2]:
         return None
     if x[0] in SHORT_NAMES and y[0] in SHORT_NAMES and x[0] != y[0] and not (x[3] or y[3]):
         return None
@@ -339,10 +392,32 @@ def form_cost(x: tuple[str, ...], y: tuple[str, ...]) -> float | None:
     return None if best is None else best + loss
 
 
-def _read_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for df in batches:
-        read = [(n, *f) for n in df["name"] if (f := read_name(n))]
-        yield pd.DataFrame(read, columns=["name", "a", "b", "mid", "biz", "legal"], dtype=object)
+def _reader(lines: Lines) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def read_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            read = [(n, *f) for n in df["name"] if (f := read_name(n, lines))]
+            yield pd.DataFrame(read, columns=["name", "a", "b", "mid", "biz", "legal"], dtype=object)
+
+    return read_all
+
+
+def learned_lines(spellings: DataFrame) -> Lines:
+    """What the distinct spellings (name) say of lines of business; the words and phrases that reach the driver are so many at most as
+    the shares allow."""
+    tokens = F.array_distinct(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"))
+    rows = spellings.select(tokens.alias("ts"), F.arrays_overlap(tokens, F.array(*map(F.lit, LEGAL))).alias("legal"))
+    n = spellings.count()
+    heard = rows.select(F.explode("ts").alias("w"), "legal").where(F.length("w") >= 3).groupBy("w").agg(F.count("*").alias("n"), F.avg(F.col("legal").cast("int")).alias("firms"))
+    apart = [*LEGAL, *FILLERS, *TITLES, *GIVEN, "limited", "liability", "partnership", "doing", "business", "dba", "fka", "aka", "formerly", "known"]
+    often = (F.col("n") >= max(LEARNED_SHARE * n, LEARNED_LEAST)) & (F.col("firms") >= 0.5) & ~F.col("w").isin(apart)
+    words = {r.w: r.n for r in heard.where(often | F.col("w").isin(LINE_WORDS)).select("w", "n").collect()}
+    # what abbreviates a more frequent word is no word of its own
+    words = {w: k for w, k in words.items() if w in LINE_WORDS or not any(m > k and (abbreviates(w, v) or len(w) >= 6 and osa(w, v, 1) == 1) for v, m in words.items())}
+    if not words:
+        return Lines([])
+    told = F.array_sort(F.array_intersect("ts", F.array(*map(F.lit, sorted(words)))))
+    phrases = rows.select(told.alias("p")).where(F.size("p") > 1).groupBy("p").agg(F.count("*").alias("n")).where(F.col("n") >= max(PHRASE_SHARE * n, 2)).collect()
+    return Lines(list(words.items()), [(tuple(r.p), r.n) for r in phrases])
 
 
 @F.pandas_udf(DoubleType())
@@ -357,21 +432,28 @@ def _deletes(token: Column) -> Column:
 
 
 def common_tokens(tokens: DataFrame, rounds: int = 2) -> DataFrame:
-    """(token, common) of (token, f): the most frequent of the tokens a small edit away that are more frequent; else itself.
+    """(token, common) of (token, f): of the tokens a small edit away that are more frequent the nearest, among those the most
+    frequent; else itself.
 
-    The symmetric-delete index gives each key only its most frequent token, so a crowded key costs no more than its
-    members. ``rounds`` of following common tokens of common tokens end chains.
+    Every two tokens of a delete key are compared. A key has the tokens that one letter more makes of it, so at most its
+    length times the letters there are, however large the table. ``rounds`` of following common tokens of common tokens end chains.
     """
     keys = tokens.where(F.length("token") >= 4).withColumn("key", F.explode(_deletes(F.col("token"))))
-    hubs = keys.groupBy("key").agg(F.max(F.struct("f", "token")).alias("hub"))
-    near = keys.join(hubs, "key").where((F.col("hub") > F.struct("f", "token")) & (F.levenshtein("token", F.col("hub.token")) <= F.when(F.length("token") >= 6, 2).otherwise(1)))
-    best = near.groupBy("token").agg(F.max("hub.token").alias("any"), F.max(F.struct(-F.levenshtein("token", F.col("hub.token")), F.col("hub.f"), F.col("hub.token").alias("t"))).alias("m")).select("token", F.col("m.t").alias("common"))
+    other = keys.select("key", F.col("token").alias("t"), F.col("f").alias("g"))
+    edits = F.levenshtein("token", "t", 2)
+    near = keys.join(other, "key").where(F.struct("g", "t") > F.struct("f", "token")).withColumn("edits", edits).where(F.col("edits").between(1, F.when(F.length("token") >= 6, 2).otherwise(1)))
+    best = near.groupBy("token").agg(F.max(F.struct(-F.col("edits"), "g", "t")).alias("m")).select("token", F.col("m.t").alias("common"))
     links = settle(tokens.join(best, "token", "left").select("token", F.coalesce("common", "token").alias("common")), "tokens")
     for _ in range(rounds):
         links = links.join(links.select(F.col("token").alias("common"), F.col("common").alias("next")), "common").select("token", F.col("next").alias("common"))
     return links
 
 
+def _told(biz: str) -> Column:
+    """The line of business stands in words."""
+    return (F.col(biz) != "") & ~F.startswith(F.col(biz), F.lit("."))
+
+
 def _listed(a: str = "a", b: str = "b") -> Column:
     """The distinctive tokens of a form, as an array."""
     return F.concat(F.array(a), F.when(F.col(b) != "", F.split(b, " ")).otherwise(F.array().cast("array<string>")))
@@ -402,7 +484,7 @@ def _may_agree(x: str, y: str) -> Column:
     within = lambda s, w: F.size(F.array_except(F.split(s, " "), F.split(w, " "))) == 0
     given, other = of("a")
     people = given.isin(*SHORT_NAMES) & other.isin(*SHORT_NAMES) & (given != other) & (p == "") & (q == "")
-    return open_(*of("legal")) & open_(*of("mid")) & ~people & (open_(p, q) | (F.length(p) == 2) | (F.length(q) == 2) | within(p, q) | within(q, p))
+    return open_(*of("legal")) & open_(*of("mid")) & ~people & (open_(p, q) | F.startswith(p, F.lit(".")) | F.startswith(q, F.lit(".")) | within(p, q) | within(q, p))
 
 
 def _met(asked: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -425,7 +507,7 @@ def linked_forms(forms: DataFrame) -> DataFrame:
     common = settle(common_tokens(tokens), "common")
     whole = (F.col("b") != "") & F.forall(_listed(), lambda t: F.length(t) >= 4)
     clean = -F.col("unclean")
-    weight = F.struct(((F.col("b") != "").cast("int") * 8 + (F.col("biz") != "").cast("int") * 4 + (F.length("biz") > 2).cast("int") * 2 + (F.col("legal") != "").cast("int") + whole.cast("int") * 16).alias("told"), clean.alias("clean"), "f", (F.length("a") + F.length("b")).alias("long"), "id")
+    weight = F.struct(((F.col("b") != "").cast("int") * 8 + (F.col("biz") != "").cast("int") * 4 + _told("biz").cast("int") * 2 + (F.col("legal") != "").cast("int") + whole.cast("int") * 16).alias("told"), clean.alias("clean"), "f", (F.length("a") + F.length("b")).alias("long"), "id")
     spelled = forms.select("id", F.explode(_listed()).alias("token")).join(common, "token", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.coalesce("common", "token"))).alias("commons"), F.sum(F.coalesce((F.col("common") != F.col("token")).cast("int"), F.lit(0))).alias("unclean"))
     named = forms.join(spelled, "id")
     ranked = settle(named.withColumn("rank", weight).withColumn("form", F.struct("a", "b", "mid", "biz", "legal")), "ranked")
@@ -439,7 +521,7 @@ def linked_forms(forms: DataFrame) -> DataFrame:
     best = Window.partitionBy("id")
     scored = scored.withColumn("least", F.min("cost").over(best)).where(F.col("cost") <= F.col("least") + 0.2)
     # A form that doesn't tell its business (or given name) and fits several equally well stays alone.
-    said = F.when(F.length("to_form.biz") > 2, F.col("to_form.biz")).otherwise(F.when((F.col("to_form.biz") == "") & (F.col("to_form.legal") == ""), F.concat(F.lit("~"), F.col("to_form.a"))))
+    said = F.when(_told("to_form.biz"), F.col("to_form.biz")).otherwise(F.when((F.col("to_form.biz") == "") & (F.col("to_form.legal") == ""), F.concat(F.lit("~"), F.col("to_form.a"))))
     choice = scored.groupBy("id").agg(F.max(F.struct(-F.col("cost"), F.col("to_rank"))).alias("m"), F.collect_set(F.when(F.col("cost") <= F.col("least"), said)).alias("kinds"), F.max("form.biz").alias("biz"), F.max("form.a").alias("a"))
     parents = choice.where((F.size("kinds") <= 1) | (F.col("biz") != "")).select("id", F.col("m.to_rank.id").alias("parent"))
     links = settle(forms.select("id").join(parents, "id", "left").select("id", F.coalesce("parent", "id").alias("root")), "links")
@@ -462,8 +544,8 @@ def entities(names: DataFrame, column: str = "name") -> DataFrame:
     anchors under their keys, so a key's work is its forms times its anchors, in blocks of CROWD anchors. A spelling with k
     tokens of n letters makes k * n index entries.
     """
-    distinct = names.select(F.col(f"`{column}`").alias("name")).where("name is not null").distinct()
-    read = settle(distinct.mapInPandas(_read_all, "name string, " + FORM), "names").withColumn("id", F.concat_ws("|", "a", "b", "mid", "biz", "legal"))
+    distinct = settle(names.select(F.col(f"`{column}`").alias("name")).where("name is not null").distinct(), "spellings")
+    read = settle(distinct.mapInPandas(_reader(learned_lines(distinct)), "name string, " + FORM), "names").withColumn("id", F.concat_ws("|", "a", "b", "mid", "biz", "legal"))
     forms = settle(read.groupBy("id", "a", "b", "mid", "biz", "legal").agg(F.count("*").alias("f")), "forms")
     return read.select("name", "id").join(linked_forms(forms), "id").select("name", "root")
 
