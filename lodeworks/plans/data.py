@@ -73,9 +73,31 @@ WITH r AS (SELECT *, row_number() OVER (PARTITION BY upper(trim(contract_award_u
 _DELIVERED = dict(key="contract_award_unique_key", rank="last_modified_date", row_id="raw_row_id", event_time="landed_at")
 
 
+#: Days by which deliveries have landed: what came between two of them is one micro-batch, so that state expires in between.
+_LANDINGS = ("2022-01-01", "2023-07-01", "2025-01-01")
+_LANDING = " + ".join(f"CAST(coalesce(landed_at >= TIMESTAMP '{d}', false) AS INTEGER)" for d in _LANDINGS)
+
+
+def _landed(spark: SparkSession, sf: str) -> deliveries.DeliveryStore:
+    raw = table(spark, sf, "awards_raw")
+    since = [F.coalesce(F.col("landed_at") >= F.lit(d).cast("timestamp_ntz"), F.lit(False)).cast("int") for d in _LANDINGS]
+    return deliveries.landed_in_order(raw, since[0] + since[1] + since[2], **_DELIVERED)
+
+
 @query(_P2 + "SELECT raw_row_id FROM r WHERE NOT keyless AND rn > 1")
 def p2_found(spark, sf):
-    return deliveries.surplus_deliveries(spark, f"{sf}/awards_raw.parquet", **_DELIVERED)
+    return _landed(spark, sf).surplus()
+
+
+@query(
+    f"""WITH r AS (SELECT upper(trim(contract_award_unique_key)) AS k, {_LANDING} AS g FROM awards_raw WHERE coalesce(trim(contract_award_unique_key), '') <> ''),
+d AS (SELECT DISTINCT k, g FROM r), s AS (SELECT DISTINCT g FROM r), o AS (SELECT g, CAST(row_number() OVER (ORDER BY g) - 1 AS INTEGER) AS batch FROM s),
+e AS (SELECT k, batch FROM d JOIN o USING (g)), p AS (SELECT *, max(batch) OVER (PARTITION BY k ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e)
+SELECT batch, count(*) AS keys, count(*) FILTER (WHERE before < batch - 1) AS late FROM p GROUP BY 1"""
+)
+def p2_late_keys(spark, sf):
+    """Keys of each landing, and how many of them had expired and were found in the archive."""
+    return _landed(spark, sf).trace()
 
 
 @query(_P2 + "SELECT raw_row_id, contract_award_unique_key, last_modified_date, batch_id FROM r WHERE keyless OR rn = 1")

@@ -58,6 +58,13 @@ class Files:
     def is_file(self, path: str) -> bool:
         return self.exists(path) and self._fs.getFileStatus(self._path(path)).isFile()
 
+    def move(self, path: str, to: str) -> None:
+        """Rename below the same file system; the folders above ``to`` are made."""
+        target = self._path(to)
+        self._fs.mkdirs(target.getParent())
+        if not self._fs.rename(self._path(path), target):
+            raise OSError(f"could not move {path} to {to}")
+
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 

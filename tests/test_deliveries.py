@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from lodeworks.sources.shared import fresh
-from lodeworks.streaming.deliveries import DeliveryStore, kept_deliveries, surplus_deliveries
+from lodeworks.streaming.deliveries import DeliveryStore, kept_deliveries, landed_in_order, surplus_deliveries
 
 SCHEMA = "id bigint, key string, rank timestamp_ntz, at timestamp_ntz, state string"
 T0 = datetime(2020, 1, 1)
@@ -56,16 +56,38 @@ def test_a_batch_that_is_run_again_changes_nothing(spark):
     assert {r.id for r in store.surplus().collect()} == brute(data)
 
 
-def test_archive_segments_are_folded(spark):
+def test_runs_are_merged(spark):
     data = rows(300, 6, keys=40)
-    store = DeliveryStore(spark, fresh(spark, "store"), F.upper(F.nullif(F.trim("key"), F.lit(""))), F.col("rank"), "id", "at", expiry_days=0, fold_segments=2)
-    for n in range(6):
-        store.merge(spark.createDataFrame(data[n::6], SCHEMA), n)
-    assert any("/archive/" in p for p in store._last(99)["archive"]) and len(store._last(99)["archive"]) <= 2
+    store = DeliveryStore(spark, fresh(spark, "store"), F.upper(F.nullif(F.trim("key"), F.lit(""))), F.col("rank"), "id", "at", expiry_days=0, fan_in=2, buckets=3)
+    for n in range(9):
+        store.merge(spark.createDataFrame(data[n::9], SCHEMA), n)
+    last = store._last(99)
+    assert max(r["level"] for r in last["archive"] + last["hot"]) >= 2 and len(last["archive"] + last["hot"]) <= 6
+    runs = {x.split("=")[1] for x in store.files.names(f"{store.root}/runs")}
+    assert {r["id"] for r in last["archive"] + last["hot"]} <= runs and len(runs) <= 9
     got = [r.id for r in store.surplus().collect()]
     assert len(got) == len(set(got)) and set(got) == brute(data)
 
 
+def test_a_batch_writes_only_what_it_touches(spark):
+    store = DeliveryStore(spark, fresh(spark, "store"), F.col("key"), F.col("rank"), "id", "at")
+    store.merge(spark.createDataFrame([(i, f"k{i}", None, T0, "s") for i in range(500)], SCHEMA), 0)
+    store.merge(spark.createDataFrame([(900, "k7", T0, T0, "s"), (901, "new", T0, T0, "s")], SCHEMA), 1)
+    assert [tuple(r) for r in store.trace().orderBy("batch").collect()] == [(0, 500, 0), (1, 2, 0)]
+    assert spark.read.parquet(store._place("b1")).count() == 2 and [r.id for r in store.surplus().collect()] == [7]
+
+
+def test_landings(spark):
+    data = rows(400, 9)
+    df = spark.createDataFrame(data, SCHEMA)
+    month = F.coalesce(F.month("at"), F.lit(0))
+    store = landed_in_order(df, month, "key", "rank", "id", "at", expiry_days=10)
+    got = [r.id for r in store.surplus().collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(data)
+    assert sum(r.late for r in store.trace().collect()) > 0 and len(store.committed()) == len({r[0] for r in df.select(month).distinct().collect()})
+    assert landed_in_order(df.limit(0), F.lit(0), "key", "rank", "id", "at").surplus().count() == 0
+
+
 def test_empty_table_and_late_key(spark):
     path = fresh(spark, "in")
     spark.createDataFrame([], SCHEMA).write.parquet(path)
@@ -75,6 +97,6 @@ def test_empty_table_and_late_key(spark):
     one(1, 0, 0)
     store.merge(spark.createDataFrame([(9, "other", None, T0 + timedelta(days=300), "s")], SCHEMA), 1)
     store.merge(spark.createDataFrame([(8, "other", None, T0 + timedelta(days=301), "s")], SCHEMA), 2)  # k expires
-    assert "expired=true" in store.files.names(f"{store.root}/state/2")
+    assert [r["id"] for r in store._last(3)["archive"]] == ["b0"]
     one(2, 0, 3)
-    assert {r.id for r in store.surplus().collect()} == {9, 2}
+    assert {r.id for r in store.surplus().collect()} == {9, 2} and store.commit_of(3)["late"] == 1
