@@ -92,6 +92,34 @@ def test_leaks_against_brute_force(spark, monkeypatch, block):
         assert len(w) == r.words >= 5 and all(any(v[j : j + 5] == w[k : k + 5] for j in range(len(v))) for k in range(len(w) - 4))
 
 
+@pytest.mark.parametrize("run", [1, 2, 5, 6])
+def test_stretches_against_brute_force(run):
+    """Repeated words, shared passages and items that overlap themselves, in every length of run."""
+    rnd = random.Random(run)
+    for _ in range(300):
+        text = lambda n: " ".join(rnd.choice("abc"[: rnd.choice([2, 3])]) for _ in range(n))
+        items = [(i, text(rnd.randrange(14))) for i in range(4)]
+        doc = text(rnd.randrange(30))
+        m = leaks.built(items, run)
+        found = leaks.spans(doc, m) if m.automaton else []
+        assert {(0, i) for i, *_ in found} == brute([(0, doc)], items, run)
+        ends = {}
+        words = lambda s: s.split()
+        for i, t in items:
+            grams = {tuple(words(t)[k : k + run]) for k in range(len(words(t)) - run + 1)}
+            ends[i] = {k + run - 1 for k in range(len(words(doc)) - run + 1) if tuple(words(doc)[k : k + run]) in grams}
+        for i in ends:
+            assert ends[i] == {k for j, a, b, n in found if j == i for k in range(doc[:a].count(" ") + run - 1, doc[:a].count(" ") + n)}
+
+
+def test_more_distinct_words_than_one_alphabet_takes(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "ITEM_WORDS", 50)
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(12)]
+    docs = [(i, f"before {t} after") for i, t in items]
+    d, t = spark.createDataFrame(docs, "doc bigint, text string"), spark.createDataFrame(items, "id bigint, text string")
+    assert sorted(tuple(r) for r in leaks.leaked_items(d, t, "doc", "text", "id", "text").collect()) == [(i, i) for i in range(12)]
+
+
 def test_letters_leave_out_surrogates():
     assert [ord(leaks.letter(i)) for i in (0, 0xD7FE, 0xD7FF)] == [1, 0xD7FF, 0xE000]
 
