@@ -96,4 +96,11 @@ def dollars(c: Column) -> Column:
 
 
 def percent(c: Column, digits: int = 0) -> Column:
-    return F.concat(F.format_number(c * 100, digits), F.lit("%"))
+    return F.coalesce(F.concat(F.format_number(c * 100, digits), F.lit("%")), F.lit("n/a"))
+
+
+def short_dollars(c: Column) -> Column:
+    """``$950``, ``$1.2m`` and the like, ``n/a`` for null: thousands by the power of ten, to one place."""
+    thousands = F.least(F.floor(F.log10(F.greatest(F.abs(c), F.lit(1.0))) / 3), F.lit(3)).cast("int")
+    text = F.when(thousands == 0, F.format_number(c, 0)).otherwise(F.format_number(c / F.pow(F.lit(1000.0), thousands), 1))
+    return F.coalesce(F.concat(F.lit("$"), text, F.element_at(F.array(*map(F.lit, ("", "k", "m", "bn"))), thousands + 1)), F.lit("n/a"))

@@ -763,7 +763,16 @@ def a14_confusion(spark, sf):
 # names
 
 
-@query()
+_NORM = f"""named AS (SELECT DISTINCT recipient_name_raw AS name FROM awards_raw WHERE recipient_name_raw IS NOT NULL),
+parted AS (SELECT name, trim(regexp_replace(upper(name), '{fn.ALIASES}.*$', '', 's')) AS main,
+  CASE WHEN regexp_matches(upper(name), '{fn.ALIASES}') THEN trim(regexp_extract(upper(name), '{fn.ALIASES}(.*)$', 1, 's')) END AS alias FROM named),
+worded AS (SELECT *, list_filter(string_split(regexp_replace(replace(main, '&', ' AND '), '[^A-Z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS ws FROM parted),
+spelled AS (SELECT *, string_split(array_to_string(list_transform(CASE WHEN ws[1] = 'THE' THEN ws[2:] ELSE ws END, lambda w: CASE w {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in fn.SPELLED_OUT.items())} ELSE w END), ' '), ' ') AS ss FROM worded),
+kept AS (SELECT *, list_filter(ss, lambda w: w NOT IN ({", ".join(f"'{x}'" for x in fn.SUFFIXES)})) AS ks FROM spelled),
+norms AS (SELECT name, main, alias, nullif(CASE WHEN len(ks) > 0 THEN array_to_string(ks, ' ') ELSE ss[1] END, '') AS norm FROM kept)"""
+
+
+@query(f"WITH {_NORM} SELECT name, main, alias, norm FROM norms")
 def f2_normal_names(spark, sf):
     n = table(spark, sf, "awards_raw").where("recipient_name_raw is not null").select(F.col("recipient_name_raw").alias("name")).distinct()
     main, alias = fn.split_alias(F.col("name"))

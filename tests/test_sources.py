@@ -5,6 +5,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from lodeworks.functions import values
 from lodeworks.plans.governance import FIELDS, Pipeline, Step, tagged
 from lodeworks.sources import readers, sinks
 from lodeworks.sources.shared import settle
@@ -77,7 +78,7 @@ def test_windows_are_clamped():
 def test_json_is_safe(spark):
     df = spark.createDataFrame([(float("nan"), 0.12345650001, date(2020, 1, 2), None)], "a double, b double, c date, d string")
     assert json.loads(sinks.json_lines(df).first().value) == {"a": None, "b": 0.123457, "c": "2020-01-02", "d": None}
-    assert sinks.clean({"x": [float("inf"), 1.23456789, datetime(2020, 1, 2)]}) == {"x": [None, 1.234568, "2020-01-02"]}
+    assert sinks.as_json({"x": [float("inf"), 1.23456789, datetime(2020, 1, 2)]}) == {"x": [None, 1.234568, "2020-01-02"]}
     assert "</" not in sinks.for_script({"x": "</script>"})
 
 
@@ -94,9 +95,11 @@ def test_sinks(spark, tmp_path):
     assert a == b and a.rows == 5
 
 
-def test_texts():
-    assert [sinks.money(x) for x in (None, 950, 1234567.0, -2e9)] == ["n/a", "$950", "$1.2M", "$-2.0B"]
-    assert sinks.percent(0.1234) == "12.3%"
+def test_texts(spark):
+    amounts = spark.createDataFrame([(None,), (0.0,), (950.0,), (1000.0,), (999_949.0,), (1234567.0,), (-2e9,), (5e12,)], "x double")
+    assert [r[0] for r in amounts.select(values.short_dollars(F.col("x"))).collect()] == ["n/a", "$0", "$950", "$1.0k", "$999.9k", "$1.2m", "$-2.0bn", "$5,000.0bn"]
+    assert [r[0] for r in spark.createDataFrame([(0.1234,), (None,)], "x double").select(values.percent(F.col("x"), 1)).collect()] == ["12.3%", "n/a"]
+    assert sinks.digest({"a": {"b": 1}, "c": 2}, {"x": "a.b", "y": "a.b.c", "z": "c"}) == {"x": 1, "y": None, "z": 2}
     assert sinks.injected("a <!-- m -->old<!-- /m --> b", "m", "new") == "a <!-- m -->\nnew\n<!-- /m --> b"
     with pytest.raises(ValueError):
         sinks.injected("none", "m", "x")
