@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lodeworks.operators.ordered import running
+from lodeworks.sources.shared import Files
+
 
 def only_existing(df: DataFrame, wanted: list[str]) -> DataFrame:
     """The wanted columns that the table has, in the wanted order."""
@@ -41,6 +44,29 @@ def value_counts(df: DataFrame, column: str, keep_null: bool = True, top: int |
     return counts.orderBy(F.desc("n"), F.asc_nulls_first("value")).limit(top) if top else counts
 
 
+def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row with each wanted (column, share) as the exact quantile of the column's non-null values, between two neighbours by
+    distance; null where there is none.
+
+    Values fold to counts, which are ranked by ranges; the two neighbours are picked by position, so no task holds all values.
+    """
+    cells = {}
+    for column in dict.fromkeys(c for c, _ in wanted.values()):
+        counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+        ranked = running(counts, ["v"], {"before": F.col("n")}, before=True)
+        last = ranked.agg((F.max(F.col("before") + F.col("n")) - 1).alias("last")).scalar()
+        picks = []
+        for name, (c, q) in wanted.items():
+            if c == column:
+                at = F.lit(float(q)) * last
+                of = lambda p: F.max(F.when((F.col("before") <= p) & (p < F.col("before") + F.col("n")), F.col("v")))
+                lo, hi = of(F.floor(at)), of(F.ceil(at))
+                picks.append(F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi).alias(name))
+        row = ranked.agg(*picks)
+        cells |= {name: row.select(name).scalar() for name in row.columns}
+    return df.sparkSession.range(1).select(*[cells[name].alias(name) for name in wanted])
+
+
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n) of the keys that stand more than once."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
@@ -62,15 +88,27 @@ def suffixed(df: DataFrame, columns: list[str], suffix: str) -> DataFrame:
     return df.withColumnsRenamed({c: c + suffix for c in columns})
 
 
-def first_match(left: DataFrame, tables: list[tuple[DataFrame, str, str]], value: str, out: str) -> DataFrame:
-    """``out`` from the first of several lookup tables that has the row's key: (table, key in ``left``, key in the table)."""
+def first_match(left: DataFrame, tables: list[tuple[DataFrame, list[str], list[str]]], value: str, out: str) -> DataFrame:
+    """``out`` from the first of several lookup tables that has the row's key: (table, key columns of ``left``, those of the table).
+
+    Keys may have several columns; a null in one matches nothing. A key that a table repeats counts with its smallest
+    non-null value, so no row of ``left`` is ever multiplied.
+    """
     found, names = left, []
-    for i, (table, key, other) in enumerate(tables):
+    for i, (table, keys, others) in enumerate(tables):
         names.append(f"_m{i}")
-        found = found.join(table.select(F.col(other).alias(key), F.col(value).alias(names[-1])), key, "left")
-    return found.withColumn(out, F.coalesce(*names)).drop(*names)
+        once = table.groupBy(*[F.col(o).alias(k) for k, o in zip(keys, others, strict=True)]).agg(F.min(value).alias(names[-1]))
+        found = found.join(once, keys, "left")
+    return found.select(*left.columns, F.coalesce(*names).alias(out))
+
+
+def joined_key(*columns: Column, sep: str = "|") -> Column:
+    """One text of several key columns: outer blanks off, nulls and blanks as nothing between separators; null if all are."""
+    parts = [F.coalesce(F.trim(c.cast("string")), F.lit("")) for c in columns]
+    key = F.concat_ws(sep, *parts)
+    return F.when(F.length(F.concat(*parts)) > 0, key)
 
 
-def optional_table(spark: SparkSession, path: str, schema: StructType | str, exists: bool) -> DataFrame:
-    """A Parquet table, or an empty one of the schema where it is absent."""
-    return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
+def optional_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """A Parquet table, or an empty one of the schema where there is none."""
+    return spark.read.schema(schema).parquet(path) if Files(spark, path).exists(path) else spark.createDataFrame([], schema)

@@ -9,21 +9,29 @@ from lodeworks.functions.columns import day_number, exact
 
 
 def covered(df: DataFrame, keys: list[str], when: str, is_anchor: Column, is_asked: Column, days: int, name: str) -> DataFrame:
-    """The asked rows of ``df`` with a flag: is there an anchor row of the same keys within ``days`` either way, ends included?
+    """``coverages`` with one flag."""
+    return coverages(df, {name: keys}, when, is_anchor, is_asked, days)
+
+
+def coverages(df: DataFrame, by: dict[str, list[str]], when: str, is_anchor: Column, is_asked: Column, days: int) -> DataFrame:
+    """The asked rows of ``df`` with a flag for each of ``by``: is there an anchor row of the same keys within ``days`` either
+    way, ends included?
 
     Rows with a null key or time are not covered. Anchors and asked rows are folded to distinct (keys, day) before one
     window by range of days, so what meets in a task for a key is bounded by the calendar; the flags then go back by an
-    equi-join that AQE can split.
+    equi-join that AQE can split. Every set of keys is one fold; asked rows are read once for all flags.
     """
-    d = day_number(F.col(when))
-    usable = F.lit(True)
-    for k in keys:
-        usable = usable & F.col(k).isNotNull()
-    base = df.withColumn("_d", d).withColumn("_asked", F.coalesce(is_asked, F.lit(False)))
-    by_day = base.where(usable & F.col("_d").isNotNull()).groupBy(*keys, "_d").agg(F.max(F.coalesce(is_anchor, F.lit(False)).cast("int")).alias("_anchor"), F.max(F.col("_asked").cast("int")).alias("_any"))
-    w = Window.partitionBy(*keys).orderBy("_d").rangeBetween(-days, days)
-    flags = by_day.withColumn("_near", F.max("_anchor").over(w)).where("_any = 1").select(*keys, "_d", (F.col("_near") == 1).alias(name))
-    return base.where("_asked").join(flags, [*keys, "_d"], "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("_d", "_asked")
+    base = df.withColumn("_d", day_number(F.col(when))).withColumn("_asked", F.coalesce(is_asked, F.lit(False)))
+    out = base.where("_asked")
+    for name, keys in by.items():
+        usable = F.col("_d").isNotNull()
+        for k in keys:
+            usable = usable & F.col(k).isNotNull()
+        by_day = base.where(usable).groupBy(*keys, "_d").agg(F.max(F.coalesce(is_anchor, F.lit(False)).cast("int")).alias("_anchor"), F.max(F.col("_asked").cast("int")).alias("_any"))
+        w = Window.partitionBy(*keys).orderBy("_d").rangeBetween(-days, days)
+        flags = by_day.withColumn("_near", F.max("_anchor").over(w)).where("_any = 1").select(*keys, "_d", (F.col("_near") == 1).alias(name))
+        out = out.join(flags, [*keys, "_d"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return out.select(*df.columns, *by)
 
 
 def anchored_clusters(df: DataFrame, account: str, when: str, span_days: int, name: str = "cluster") -> DataFrame:

@@ -5,16 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeworks.functions.columns import exact
+
 SCHEMA = ["entity", "code", "priority", "provenance", "detail", "evidence", "evidence_count", "value"]
 
 
 @dataclass(frozen=True)
 class Rule:
     """``rows`` are the rows that can fire; those that meet ``trigger`` are folded to one row per entity: evidence ids (the
-    first ``most`` in order), ``value`` as an aggregate, ``detail`` as text over (evidence_count, value)."""
+    first ``most`` by ``order``, then by id), ``value`` as the exact sum of ``amount``, ``detail`` as text over (evidence_count, value)."""
 
     code: str
     priority: int
@@ -22,23 +24,45 @@ class Rule:
     entity: str
     trigger: Column
     evidence: str
-    value: Column
+    amount: Column
     detail: Column
     provenance: str = "DERIVED"
     most: int = 12
+    #: what comes first among the evidence, ascending; the ids themselves if not given
+    order: Column | None = None
 
 
 def fired(rule: Rule) -> DataFrame:
-    """One row per entity for which the rule fires. The smallest evidence ids stay; ``evidence_count`` is their number before that."""
-    hit = rule.rows.where(F.col(rule.entity).isNotNull() & F.coalesce(rule.trigger, F.lit(False)))
-    g = hit.groupBy(F.col(rule.entity).alias("entity")).agg(F.array_sort(F.collect_set(rule.evidence)).alias("ids"), rule.value.cast("double").alias("value"))
-    g = g.withColumn("evidence_count", F.size("ids")).withColumn("evidence", F.array_join(F.slice("ids", 1, rule.most), ";"))
-    return g.withColumns({"code": F.lit(rule.code), "priority": F.lit(rule.priority), "provenance": F.lit(rule.provenance), "detail": rule.detail}).select(*SCHEMA)
+    """One row per entity for which the rule fires."""
+    return all_fired([rule])
 
 
 def all_fired(rules: list[Rule]) -> DataFrame:
-    """The rows of all rules, as one relation."""
-    return reduce(DataFrame.unionByName, map(fired, rules))
+    """One row per entity and rule that fires, as one relation. ``evidence_count`` is the number of distinct non-null ids, of which
+    the first stay.
+
+    Scale: rules over the same rows are told apart in one scan of them. Ids fold on the map side and are counted; the first
+    ones are found by a rank that Spark limits before it shuffles, so no list ever holds more than ``most``.
+    """
+    shared: dict[tuple[int, str], list[Rule]] = {}
+    for r in rules:
+        shared.setdefault((id(r.rows), r.entity), []).append(r)
+    return reduce(DataFrame.unionByName, map(_fired_together, shared.values()))
+
+
+def _fired_together(rules: list[Rule]) -> DataFrame:
+    rows, entity = rules[0].rows, rules[0].entity
+    order = [r.order if r.order is not None else F.lit(None).cast("int") for r in rules]
+    hit = lambda r, o: F.when(r.trigger, F.struct(F.lit(r.code).alias("code"), F.col(r.evidence).cast("string").alias("id"), exact(r.amount).alias("x"), o.cast("double").alias("o")))
+    hits = rows.where(F.col(entity).isNotNull()).select(F.col(entity).alias("entity"), F.explode(F.array_compact(F.array(*map(hit, rules, order)))).alias("h")).select("entity", "h.*")
+    ids = hits.groupBy("entity", "code", "id").agg(F.sum("x").alias("x"), F.min("o").alias("o"))
+    totals = ids.groupBy("entity", "code").agg(F.count("id").cast("int").alias("evidence_count"), F.coalesce(F.sum("x").cast("double"), F.lit(0.0)).alias("value"))
+    rank = F.row_number().over(Window.partitionBy("entity", "code").orderBy(F.asc_nulls_last("o"), "id"))
+    of = lambda what: F.coalesce(*[F.when(F.col("code") == r.code, what(r)) for r in rules])
+    first = ids.where("id is not null").withColumn("rank", rank).where(F.col("rank") <= max(r.most for r in rules)).where(F.col("rank") <= of(lambda r: F.lit(r.most)))
+    lists = first.groupBy("entity", "code").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda e: e["id"]), ";").alias("evidence"))
+    out = totals.join(lists, ["entity", "code"], "left").withColumn("evidence", F.coalesce("evidence", F.lit("")))
+    return out.withColumns({"priority": of(lambda r: F.lit(r.priority)), "provenance": of(lambda r: F.lit(r.provenance)), "detail": of(lambda r: r.detail)}).select(*SCHEMA)
 
 
 def actions(entities: DataFrame, entity: str, plays: DataFrame, never: str = "SYNTHETIC") -> DataFrame:

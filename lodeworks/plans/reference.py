@@ -119,7 +119,8 @@ def a39_duplicates(spark, sf):
 
 @query("SELECT median(number_of_offers_received) AS med, quantile_cont(number_of_offers_received, 0.1) AS p10, quantile_cont(award_amount, 0.25) AS q1, quantile_cont(award_amount, 0.75) AS q3, quantile_cont(award_amount, 0.9) AS p90 FROM contracts")
 def a8_quantiles(spark, sf):
-    return table(spark, sf, "contracts").agg(F.median("number_of_offers_received").alias("med"), F.percentile("number_of_offers_received", F.lit(0.1)).alias("p10"), F.percentile("award_amount", F.lit(0.25)).alias("q1"), F.percentile("award_amount", F.lit(0.75)).alias("q3"), F.percentile("award_amount", F.lit(0.9)).alias("p90"))
+    wanted = {"med": ("number_of_offers_received", 0.5), "p10": ("number_of_offers_received", 0.1), "q1": ("award_amount", 0.25), "q3": ("award_amount", 0.75), "p90": ("award_amount", 0.9)}
+    return conform.quantiles(table(spark, sf, "contracts"), wanted)
 
 
 # projections
@@ -386,9 +387,8 @@ FROM h"""
 )
 def j8_coverage(spark, sf):
     c = table(spark, sf, "contracts").select("contract_award_unique_key", "account_id", "recipient_entity_id", "base_obligation_date", "psc_role")
-    one = coverage.covered(c, ["account_id"], "base_obligation_date", maintained(), hardware(), _W, "covered").select("contract_award_unique_key", "covered")
-    two = coverage.covered(c, ["account_id", "recipient_entity_id"], "base_obligation_date", maintained(), hardware(), _W, "covered_vendor").select("contract_award_unique_key", "covered_vendor")
-    return one.join(two, "contract_award_unique_key")
+    by = {"covered": ["account_id"], "covered_vendor": ["account_id", "recipient_entity_id"]}
+    return coverage.coverages(c, by, "base_obligation_date", maintained(), hardware(), _W).select("contract_award_unique_key", *by)
 
 
 @query(
@@ -839,7 +839,7 @@ def j7_first_match(spark, sf):
     own = raw.where("recipient_uei is not null").groupBy("recipient_uei").agg(F.min("recipient_state_code").alias("s"))
     parent = raw.where("recipient_parent_uei is not null").groupBy("recipient_parent_uei").agg(F.min("recipient_state_code").alias("s"))
     asked = table(spark, sf, "subaward_report").where("subawardee_uei is not null").select("subawardee_uei").distinct()
-    return conform.first_match(asked, [(own, "subawardee_uei", "recipient_uei"), (parent, "subawardee_uei", "recipient_parent_uei")], "s", "state")
+    return conform.first_match(asked, [(own, ["subawardee_uei"], ["recipient_uei"]), (parent, ["subawardee_uei"], ["recipient_parent_uei"])], "s", "state")
 
 
 @query(
@@ -871,19 +871,28 @@ def _rules(spark, sf):
     c = table(spark, sf, "contracts")
     age = F.datediff(F.lit(P.as_of), F.to_date("base_obligation_date"))
     left = F.datediff(F.to_date("end_date"), F.lit(P.as_of))
-    total = exact_sum(F.col("award_amount"))
+    amount, day = F.col("award_amount"), F.unix_date(F.to_date("base_obligation_date"))
     text = lambda what: F.concat(F.col("evidence_count").cast("string"), F.lit(f" {what}, "), v.dollars(F.col("value")))
-    mk = lambda code, pri, trig, what: rules.Rule(code, pri, c, "account_id", trig, "contract_award_unique_key", total, text(what))
-    return c, [mk("ENDS_SOON", 0, left.between(0, P.renewal_lookahead_days), "awards end within a year"), mk("RECENT_HARDWARE", 1, hardware() & age.between(0, P.shift_window_days), "hardware awards in two years"), mk("NEGATIVE_AMOUNT", 2, F.col("award_amount") < 0, "awards with a negative amount")]
+    mk = lambda code, pri, trig, what, **how: rules.Rule(code, pri, c, "account_id", trig, "contract_award_unique_key", amount, text(what), **how)
+    return c, [mk("ENDS_SOON", 0, left.between(0, P.renewal_lookahead_days), "awards end within a year"), mk("RECENT_HARDWARE", 1, hardware() & age.between(0, P.shift_window_days), "hardware awards in two years", order=-day, most=8), mk("NEGATIVE_AMOUNT", 2, F.col("award_amount") < 0, "awards with a negative amount", order=amount, most=3)]
 
 
-_TRIGGERS = {"ENDS_SOON": (0, f"date_diff('day', {AS_OF}, end_date::DATE) BETWEEN 0 AND {P.renewal_lookahead_days}"), "RECENT_HARDWARE": (1, f"psc_role IN {HARD} AND {_AGE} BETWEEN 0 AND {P.shift_window_days}"), "NEGATIVE_AMOUNT": (2, "award_amount < 0")}
-_FIRED = "fired AS (" + " UNION ALL ".join(f"SELECT account_id AS entity, '{c}' AS code, {p} AS priority, list(DISTINCT contract_award_unique_key ORDER BY contract_award_unique_key) AS ids, CAST(coalesce(sum({DEC}), 0) AS DOUBLE) AS value FROM contracts WHERE account_id IS NOT NULL AND {t} GROUP BY 1" for c, (p, t) in _TRIGGERS.items()) + ")"
+_TRIGGERS = {
+    "ENDS_SOON": (0, f"date_diff('day', {AS_OF}, end_date::DATE) BETWEEN 0 AND {P.renewal_lookahead_days}", "contract_award_unique_key", 12, "awards end within a year"),
+    "RECENT_HARDWARE": (1, f"psc_role IN {HARD} AND {_AGE} BETWEEN 0 AND {P.shift_window_days}", "base_obligation_date DESC, contract_award_unique_key", 8, "hardware awards in two years"),
+    "NEGATIVE_AMOUNT": (2, "award_amount < 0", "award_amount, contract_award_unique_key", 3, "awards with a negative amount"),
+}
+_FIRED = "fired AS (" + " UNION ALL ".join(
+    f"""SELECT *, CAST(evidence_count AS VARCHAR) || ' {w}, ' || CASE WHEN value < 0 THEN '-' ELSE '' END || '$' || format('{{:,}}', CAST(round_even(abs(value), 0) AS BIGINT)) AS detail FROM (
+  SELECT account_id AS entity, '{c}' AS code, {p} AS priority, list(contract_award_unique_key ORDER BY {o})[1:{m}] AS ids, CAST(count(*) AS INTEGER) AS evidence_count,
+    CAST(coalesce(sum({DEC}), 0) AS DOUBLE) AS value FROM contracts WHERE account_id IS NOT NULL AND {t} GROUP BY 1)"""
+    for c, (p, t, o, m, w) in _TRIGGERS.items()
+) + ")"
 
 
-@query(f"WITH {_FIRED} SELECT entity, code, priority, 'DERIVED' AS provenance, array_to_string(ids[1:12], ';') AS evidence, CAST(len(ids) AS INTEGER) AS evidence_count, value FROM fired")
+@query(f"WITH {_FIRED} SELECT entity, code, priority, 'DERIVED' AS provenance, detail, array_to_string(ids, ';') AS evidence, evidence_count, value FROM fired")
 def ud_fired_rules(spark, sf):
-    return rules.all_fired(_rules(spark, sf)[1]).drop("detail")
+    return rules.all_fired(_rules(spark, sf)[1])
 
 
 @query(f"WITH {_FIRED}, g AS (SELECT entity, arg_min(code, priority) AS action, string_agg(code, ';' ORDER BY priority) AS codes, CAST(count(*) AS INTEGER) AS fired FROM fired GROUP BY 1) SELECT a.account_id AS entity, coalesce(action, 'NO_ACTION') AS action, coalesce(codes, '') AS codes, coalesce(g.fired, 0) AS fired FROM (SELECT DISTINCT account_id FROM contracts WHERE account_id IS NOT NULL) a LEFT JOIN g ON g.entity = a.account_id")

@@ -36,7 +36,7 @@ def test_optional_existing_and_suffixed(spark):
     df = spark.createDataFrame([(1, 2)], "a int, b int")
     assert conform.only_existing(df, ["b", "z"]).columns == ["b"]
     assert conform.suffixed(df, ["a"], "_cx").columns == ["a_cx", "b"]
-    assert conform.optional_table(spark, "/nowhere", "a int", False).count() == 0
+    assert conform.optional_table(spark, "/nowhere", "a int").count() == 0
 
 
 @pytest.mark.parametrize("n", [0, 1, 7, 200])
@@ -119,23 +119,27 @@ def test_metrics_on_edges(spark):
     assert metrics.auc(spark.createDataFrame(data, "y int, p double, id int"), "y", "p").first().auc == pytest.approx(sum(pairs) / len(pairs))
 
 
-def numeric_cox(t, d, x, e, ridge):
-    """Newton on Breslow's likelihood by plain loops, one standardised feature."""
+def numeric_cox(t, d, x, e, ridge, ties):
+    """(coefficient, variance) by Newton with plain loops, one standardised feature."""
     z, b = (x - x.mean()) / x.std(), 0.0
     for _ in range(50):
         g, h = -ridge * len(t) * b, ridge * len(t)
-        for i in np.flatnonzero(d):
-            r = (t >= t[i]) & ((e < t[i]) if e is not None else True)
-            w = np.exp(b * z[r])
-            m = (w * z[r]).sum() / w.sum()
-            g += z[i] - m
-            h += (w * z[r] ** 2).sum() / w.sum() - m * m
+        for u in sorted(set(t[d > 0])):
+            r, own = (t >= u) & ((e < u) if e is not None else True), (t == u) & (d > 0)
+            w, k = np.exp(b * z), own.sum()
+            for step in range(k):
+                v = w * (r - (step / k) * own) if ties == "efron" else w * r
+                m = (v * z).sum() / v.sum()
+                h += (v * z**2).sum() / v.sum() - m * m
+                g -= m
+            g += z[own].sum()
         b += g / h
-    return b
+    return b, 1 / h
 
 
+@pytest.mark.parametrize("ties", ["efron", "breslow"])
 @pytest.mark.parametrize("late", [False, True])
-def test_cox_against_plain_loops(spark, late):
+def test_cox_against_plain_loops(spark, late, ties):
     rng = np.random.default_rng(4)
     n = 60
     x = rng.normal(size=n)
@@ -143,20 +147,63 @@ def test_cox_against_plain_loops(spark, late):
     d = (rng.random(n) < 0.7).astype(int)
     e = np.floor(t * rng.random(n) * 0.6) if late else None
     rows = [(float(a), int(b), float(c), float(f) if late else None) for a, b, c, f in zip(t, d, x, e if late else t)]
-    model = survival.fit_cox(spark.createDataFrame(rows, "t double, d int, x double, e double"), "t", "d", ["x"], entry="e" if late else None, penalty=0.01)
-    assert model.beta[0] == pytest.approx(numeric_cox(t, d, x, e, 0.01), abs=1e-6)
+    df = spark.createDataFrame(rows, "t double, d int, x double, e double")
+    model = survival.fit_cox(df, "t", "d", ["x"], entry="e" if late else None, penalty=0.01, ties=ties)
+    beta, variance = numeric_cox(t, d, x, e, 0.01, ties)
+    assert model.beta[0] == pytest.approx(beta, abs=1e-6) and model.variance[0, 0] == pytest.approx(variance, rel=1e-5)
     assert model.beta[0] > 0.3 and (np.diff(model.hazard) >= 0).all()
+    row = model.coefficients(spark).first()
+    assert row.low < row.beta_raw < row.high and row.z == pytest.approx(row.beta_raw / row.se) and 0 <= row.p < 0.1
 
 
-def test_concordance_against_pairs(spark):
+@pytest.mark.parametrize("late", [False, True])
+def test_robust_errors_against_plain_loops(spark, late):
+    rng = np.random.default_rng(9)
+    n = 50
+    x = rng.normal(size=n)
+    t = rng.permutation(n) + 2.0  # no ties
+    d = (rng.random(n) < 0.6).astype(int)
+    e = np.floor(t * rng.random(n) * 0.5) if late else np.zeros(n)
+    df = spark.createDataFrame([(float(a), int(b), float(c), float(f)) for a, b, c, f in zip(t, d, x, e)], "t double, d int, x double, e double")
+    how = dict(entry="e" if late else None, penalty=0.0)
+    plain, model = survival.fit_cox(df, "t", "d", ["x"], **how), survival.fit_cox(df, "t", "d", ["x"], robust=True, **how)
+    z, b = (x - x.mean()) / x.std(), plain.beta[0]
+    w = np.exp(b * z)
+    meat = 0.0
+    for i in range(n):
+        total = 0.0
+        for j in np.flatnonzero(d):
+            r = (t >= t[j]) & (e < t[j])
+            m = (w * z * r).sum() / (w * r).sum()
+            total += (z[i] - m) * ((i == j) - (w[i] / (w * r).sum() if r[i] else 0.0))
+        meat += total**2
+    assert model.variance[0, 0] == pytest.approx(plain.variance[0, 0] ** 2 * meat, rel=1e-6)
+
+
+@pytest.mark.parametrize("blocks", [2, 5, 64])
+@pytest.mark.parametrize("kind", ["ties", "fine", "hot"])
+def test_concordance_against_pairs(spark, blocks, kind):
     rnd = random.Random(6)
-    data = [(float(rnd.randrange(1, 20)), rnd.randrange(2), rnd.choice([0.1, 0.2, 0.3])) for _ in range(80)]
-    pairs = [(p, q) for t, d, p in data if d for u, _, q in data if u > t]
-    r = survival.concordance(spark.createDataFrame(data, "t double, d int, s double"), "t", "d", "s").first()
+    draw = {"ties": lambda: (float(rnd.randrange(1, 20)), rnd.choice([0.1, 0.2, 0.3])), "fine": lambda: (rnd.random(), rnd.random()), "hot": lambda: (rnd.choice([5.0, 5.0, rnd.random() * 9]), rnd.choice([0.5, 0.5, rnd.random()]))}[kind]
+    data = [(t, rnd.randrange(2), s) for _ in range(150) for t, s in [draw()]] + [(None, 1, 0.5), (3.0, None, 0.5), (3.0, 1, None)]
+    whole = [x for x in data if None not in x]
+    pairs = [(p, q) for t, d, p in whole if d for u, c, q in whole if u > t or u == t and not c]
+    r = survival.concordance(spark.createDataFrame(data, "t double, d int, s double"), "t", "d", "s", blocks).first()
     assert (r.pairs, r.right, r.tied) == (len(pairs), sum(p > q for p, q in pairs), sum(p == q for p, q in pairs))
+
+
+def test_concordance_of_nothing(spark):
     assert survival.concordance(spark.createDataFrame([], "t double, d int, s double"), "t", "d", "s").collect() == [(0, 0, 0, None)]
 
 
+def test_which_score_is_used(spark):
+    rows = [(i, int(i % 3 == 0), 0.9 if i % 3 == 0 else 0.1, 0.5 + (i % 7) / 100) for i in range(60)]
+    r = survival.preferred(spark.createDataFrame(rows, "k int, y int, p double, q double"), "y", "p", "q", "k").first()
+    assert (r.auc_model, r.by_brier, r.by_error) == (1.0, "model", "model") and r.mean_error == pytest.approx(abs(22 / 60 - 20 / 60), abs=0.05)
+    none = survival.preferred(spark.createDataFrame([], "k int, y int, p double, q double"), "y", "p", "q", "k").first()
+    assert (none.by_brier, none.by_error) == ("baseline", "baseline")
+
+
 def test_lifetimes_reasons_in_order(spark):
     d = lambda y: datetime(y, 1, 1)
     rows = [(1, None, d(2000)), (2, d(2000), d(1999)), (3, d(1960), d(1970)), (4, d(2010), None), (5, d(1960), d(2000)), (6, d(2030), None), (7, d(2000), d(2040))]
@@ -167,7 +214,7 @@ def test_lifetimes_reasons_in_order(spark):
 def test_lifetimes_known_at_a_cutoff(spark):
     d = lambda y: datetime(y, 1, 1)
     life = survival.lifetimes(spark.createDataFrame([(1, d(2000), d(2020)), (2, d(2019), None), (3, d(2000), d(2005))], "k int, i timestamp_ntz, r timestamp_ntz"), "k", "i", "r", date(1975, 1, 1), date(2026, 1, 1))
-    got = {r.k: (round(r.t_exit), r.t_event) for r in survival.cut_at(life, "i", "r", date(2010, 1, 1)).collect()}
+    got = {r.k: (round(r.seen_until), r.seen_gone) for r in survival.cut_at(life, "i", "r", date(2010, 1, 1)).collect()}
     assert got == {1: (10, 0), 3: (5, 1)}
     assert survival.prefer_model({"auc": 0.9, "brier": 0.1}, {"auc": 0.8, "brier": 0.2}) == "model"
     assert survival.prefer_model({"auc": 0.9, "brier": 0.3}, {"auc": 0.8, "brier": 0.2}) == "baseline"
@@ -182,15 +229,37 @@ def test_resolver_outcomes(spark):
 
 def test_rules_and_actions(spark):
     c = spark.createDataFrame([("A", f"id{i:02}", float(i)) for i in range(20)] + [("B", "x", 5.0), (None, "y", 1.0)], "acct string, id string, x double")
-    mk = lambda code, pri, trig, tag="DERIVED": rules.Rule(code, pri, c, "acct", trig, "id", F.sum("x"), F.lit("a long enough text"), tag)
+    mk = lambda code, pri, trig, tag="DERIVED": rules.Rule(code, pri, c, "acct", trig, "id", F.col("x"), F.lit("a long enough text"), tag)
     plays = rules.all_fired([mk("LATE", 5, F.col("x") > 3), mk("FIRST", 1, F.col("x") > 15), mk("MADE_UP", 0, F.lit(True), "SYNTHETIC")])
     late = plays.where("code = 'LATE' and entity = 'A'").first()
     assert late.evidence_count == 16 and len(late.evidence.split(";")) == 12 and late.value == sum(range(4, 20))
     acts = {r.entity: (r.action, r.codes, r.fired) for r in rules.actions(spark.createDataFrame([("A",), ("B",), ("C",)], "acct string"), "acct", plays).collect()}
     assert acts == {"A": ("FIRST", "MADE_UP;FIRST;LATE", 3), "B": ("LATE", "MADE_UP;LATE", 2), "C": ("NO_ACTION", "", 0)}
+    newest = rules.fired(rules.Rule("NEWEST", 1, c.union(c), "acct", F.col("x") > 3, "id", F.col("x"), F.concat(F.col("evidence_count"), F.lit(" ids")), order=-F.col("x"), most=3)).where("entity = 'A'").first()
+    assert (newest.evidence, newest.evidence_count, newest.value, newest.detail) == ("id19;id18;id17", 16, 2.0 * sum(range(4, 20)), "16 ids")
     assert {r.code: r.low_information for r in rules.selectivity(plays, 3).collect()} == {"LATE": False, "FIRST": False, "MADE_UP": False}
 
 
+def test_quantiles_are_exact(spark):
+    rnd = random.Random(2)
+    data = [(rnd.choice([None, float(rnd.randrange(6))]), rnd.random() * 9, None) for _ in range(333)]
+    df = spark.createDataFrame(data, "a double, b double, c double")
+    got = conform.quantiles(df, {"x": ("a", 0.5), "y": ("b", 0.9), "z": ("b", 0.0), "w": ("c", 0.5)}).first()
+    for name, (c, q) in {"x": (0, 0.5), "y": (1, 0.9), "z": (1, 0.0)}.items():
+        assert got[name] == pytest.approx(float(np.quantile([d[c] for d in data if d[c] is not None], q)))
+    assert got.w is None
+
+
+def test_lookups_by_several_columns(spark):
+    left = spark.createDataFrame([("a", 1, 0), ("a", 2, 0), (None, 1, 0)], "x string, y int, v int")
+    table = spark.createDataFrame([("a", 1, "p"), ("a", 1, "o"), (None, 1, "n")], "k string, l int, v string")
+    other = spark.createDataFrame([(2, "q")], "m int, v string")
+    df = conform.first_match(left, [(table, ["x", "y"], ["k", "l"]), (other, ["y"], ["m"])], "v", "found")
+    assert df.columns == ["x", "y", "v", "found"] and sorted((r.x or "", r.y, r.found) for r in df.collect()) == [("", 1, None), ("a", 1, "o"), ("a", 2, "q")]
+    keys = spark.createDataFrame([(" a ", 1), (None, 2), (None, None), (" ", None)], "x string, y int").select(conform.joined_key(F.col("x"), F.col("y")))
+    assert [r[0] for r in keys.collect()] == ["a|1", "|2", None, None]
+
+
 def test_flows(spark):
     subs = spark.createDataFrame([("p", 10.0, "s1", "u1"), ("p", 30.0, "s2", "u2"), ("q", 5.0, None, None), (None, 1.0, "s", "u1"), ("gone", 1.0, "s", "u1")], "key string, x double, name string, uei string")
     primes = spark.createDataFrame([("p", 10.0), ("q", 0.0)], "key string, own double")
