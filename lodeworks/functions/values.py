@@ -70,12 +70,12 @@ def lookup(c: Column, table: dict[str, str], default: str | None = None) -> Colu
     return F.coalesce(F.try_element_at(pairs, c), F.lit(default)) if default is not None else F.try_element_at(pairs, c)
 
 
-def bucket(c: Column, edges: list[float], labels: list[str] | None = None) -> Column:
-    """Index (or label) of the half-open bin [edge, next edge); null outside the edges and for null."""
+def bucket(c: Column, edges: list[float], labels: list[str] | None = None, right: bool = False) -> Column:
+    """Index (or label) of the half-open bin [edge, next edge), or with ``right`` of (edge, next edge]; null outside the edges and for null."""
     out = None
     for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
         value = F.lit(labels[i] if labels else i)
-        hit = (c >= lo) & (c < hi)
+        hit = (c > lo) & (c <= hi) if right else (c >= lo) & (c < hi)
         out = F.when(hit, value) if out is None else out.when(hit, value)
     return out
 

@@ -76,6 +76,31 @@ def cohorts(df: DataFrame, account: str, when: str, amount: str, as_of: date, ye
     return sizes.join(table, "cohort_fy").select("cohort_fy", "accounts", "total", "year_n", "eligible", "active", (F.col("active") / F.col("eligible")).alias("rate"))
 
 
+def retention(df: DataFrame, account: str, when: str, as_of: date, dormant_months: float = 24) -> DataFrame:
+    """(cohort_fy, accounts, dormant, fy, active, rate): of each cohort how many accounts are dormant, and in each fiscal year from
+    its own on that anyone of it was active in, how many were."""
+    from lodeworks.functions.values import fiscal_year
+
+    days = df.where(F.col(account).isNotNull() & F.col(when).isNotNull()).groupBy(F.col(account).alias("a"), fiscal_year(F.col(when)).alias("fy")).agg(F.min(F.to_date(when)).alias("f"), F.max(F.to_date(when)).alias("l"))
+    first = days.groupBy("a").agg(fiscal_year(F.min("f")).alias("cohort_fy"), months_idle(F.max("l"), as_of).alias("idle"))
+    sizes = first.groupBy("cohort_fy").agg(F.count("*").alias("accounts"), F.sum((F.col("idle") >= dormant_months).cast("bigint")).alias("dormant"))
+    active = days.join(first, "a").groupBy("cohort_fy", "fy").agg(F.count("*").alias("active"))
+    return sizes.join(active, "cohort_fy").select("cohort_fy", "accounts", "dormant", "fy", "active", (F.col("active") / F.col("accounts")).alias("rate"))
+
+
+def with_sides(accounts: DataFrame, account: str, covered: DataFrame, renewals: DataFrame, gaps: DataFrame) -> DataFrame:
+    """``accounts`` with what other tables say of each: covered assets (account, covered), expiring contracts (account, key, amount,
+    end, cluster_size) and gaps against peers (account). Each is folded by account first; where it says nothing there are zeros."""
+    cov = covered.groupBy(account).agg(F.count("*").alias("assets"), F.sum(F.col("covered").cast("bigint")).alias("covered_assets"))
+    ren = renewals.groupBy(account).agg(F.countDistinct("key").alias("expiring"), exact_sum(F.col("amount")).alias("expiring_value"), F.min(F.to_date("end")).alias("next_expiry"), F.max(F.col("cluster_size") > 1).alias("in_cluster"))
+    gap = gaps.groupBy(account).agg(F.count("*").alias("gaps"))
+    out = accounts
+    for side in (cov, ren, gap):
+        out = out.join(side, account, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select(*accounts.columns, zero("assets"), zero("covered_assets"), (F.coalesce("assets", F.lit(0)) - F.coalesce("covered_assets", F.lit(0))).alias("uncovered_assets"), ratio(F.col("covered_assets"), F.col("assets")).alias("coverage_rate"), zero("expiring"), F.coalesce("expiring_value", F.lit(0.0)).alias("expiring_value"), "next_expiry", F.coalesce("in_cluster", F.lit(False)).alias("in_cluster"), zero("gaps"))
+
+
 def pace_against_cohort(df: DataFrame, account: str, when: str, as_of: date) -> DataFrame:
     """(account, cohort_fy, per_year, cohort_median, pace): events a year, and that divided by the median of the cohort."""
     from lodeworks.functions.values import fiscal_year

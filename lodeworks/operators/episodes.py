@@ -62,6 +62,16 @@ def state_at(eps: DataFrame, as_of: date, columns: list[str]) -> DataFrame:
     return last.select("account", "s.*").withColumn("elapsed", F.datediff(F.lit(as_of), "day"))
 
 
+def rate_at(df: DataFrame, at: str, gap_rows: DataFrame, edges: list[float], name: str = "rate") -> DataFrame:
+    """``df`` with the rate of the bucket that ``at`` falls into; the mean of all gaps where that bucket has none or there is none."""
+    from lodeworks.functions.values import bucket
+
+    rates = rate_by_bucket(gap_rows, edges).select(F.col("bucket").alias("_b"), F.col("rate").alias("_r"))
+    mean = gap_rows.agg(F.avg("event").alias("m")).scalar()
+    found = df.withColumn("_b", bucket(F.col(at), edges)).join(rates, "_b", "left")
+    return found.select(*df.columns, F.coalesce("_r", mean).alias(name))
+
+
 def rate_by_bucket(gap_rows: DataFrame, edges: list[float]) -> DataFrame:
     """(bucket, n, rate): share of gaps that ended in an event, by duration bucket [edge, next edge)."""
     from lodeworks.functions.values import bucket

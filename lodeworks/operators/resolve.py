@@ -68,6 +68,43 @@ def variants(df: DataFrame, key: str, name: str) -> DataFrame:
     return out.where("variants > 1").select(key, "variants", F.array_join(F.col("s.name"), ";").alias("names"), "rows")
 
 
+def conflicts(df: DataFrame, name: str, key: str) -> DataFrame:
+    """(name, keys, ids, counts): names that stand under more than one key; keys by frequency, then in order, and their rows."""
+    g = df.where(F.col(key).isNotNull() & F.col(name).isNotNull()).groupBy(name, key).agg(F.count("*").alias("n"))
+    out = g.groupBy(name).agg(F.count("*").alias("keys"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col(key).alias("k")))).alias("s"))
+    return out.where("keys > 1").select(name, "keys", F.array_join(F.col("s.k"), ";").alias("ids"), F.array_join(F.transform("s", lambda x: (-x["n"]).cast("string")), ";").alias("counts"))
+
+
+def shared_forms(df: DataFrame, form: str, key: str) -> DataFrame:
+    """(form, keys, ids): normal forms that several keys have, which may be one parent's children; ids in order."""
+    g = df.where(F.col(key).isNotNull() & F.col(form).isNotNull()).select(form, key).distinct()
+    return g.groupBy(form).agg(F.count("*").alias("keys"), F.array_join(F.array_sort(F.collect_list(key)), ";").alias("ids")).where("keys > 1")
+
+
+def graded(flagged: DataFrame, parents: DataFrame, key: str, parent: str) -> DataFrame:
+    """One row: how flagged pairs (a, b), a < b, agree with the parents of keys, which were held back.
+
+    Only pairs of which both parents are known count as right or wrong. True pairs are counted from the sizes of families and
+    not listed. Each key has one parent (the greatest, if the table says several).
+    """
+    known = parents.where(F.col(key).isNotNull() & F.col(parent).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(parent).alias("p"))
+    families = known.groupBy("p").agg(F.count("*").alias("n")).where("n > 1")
+    true = families.agg(F.count("*").alias("families"), F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("bigint"), F.lit(0)).alias("true_pairs"))
+    side = lambda c: known.select(F.col("k").alias(c), F.col("p").alias(f"p{c}"))
+    both = flagged.select("a", "b").distinct().join(side("a"), "a", "left").join(side("b"), "b", "left")
+    seen = F.col("pa").isNotNull() & F.col("pb").isNotNull()
+    n = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
+    g = both.agg(F.count("*").alias("flagged"), n(seen & (F.col("pa") == F.col("pb"))).alias("tp"), n(seen & (F.col("pa") != F.col("pb"))).alias("fp"))
+    g = g.select("*", true.select("families").scalar().alias("families"), true.select("true_pairs").scalar().alias("true_pairs")).withColumn("fn", F.col("true_pairs") - F.col("tp"))
+    share = lambda x, y: F.col(x) / F.greatest(F.col(x) + F.col(y), F.lit(1))
+    return g.withColumns({"precision": share("tp", "fp"), "recall": share("tp", "fn")})
+
+
+def first_seen(df: DataFrame, key: str, value: str, order: str, name: str) -> DataFrame:
+    """(key, name): of each non-null key the value of its first row by ``order``, which has no ties; null if that row has none."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))).alias("m")).select(key, F.col("m.v").alias(name))
+
+
 def pairs_within(df: DataFrame, group: str, member: str) -> DataFrame:
     """(group, a, b), a < b, of the distinct members of each group: for labels that are to be compared pair by pair."""
     m = df.where(F.col(group).isNotNull() & F.col(member).isNotNull()).select(group, member).distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.functions.columns import exact
+from lodeworks.operators.metrics import spearman, top_overlap
 
 SCHEMA = ["entity", "code", "priority", "provenance", "detail", "evidence", "evidence_count", "value"]
 
@@ -82,6 +83,18 @@ def selectivity(plays: DataFrame, entities: int | Column) -> DataFrame:
     return g.withColumn("share", share).withColumn("low_information", share > 0.8)
 
 
+def reordered(scored: DataFrame, key: str, base: Column, variants: dict[str, Column], n: int = 50) -> DataFrame:
+    """(variant, positive, shared, overlap, spearman): what another way to value does to the order of ``base``: how many of the ``n``
+    with the greatest value stay among them (ties by key), and the rank correlation over all. A null value counts for nothing."""
+    frame = scored.select(key, base.alias("_base"), *[c.alias(f"_v{i}") for i, c in enumerate(variants.values())])
+    rows = []
+    for i, name in enumerate(variants):
+        top = top_overlap(frame, key, f"_v{i}", "_base", n)
+        cor = spearman(frame, f"_v{i}", "_base")
+        rows.append(top.select(F.lit(name).alias("variant"), frame.agg(F.coalesce(F.sum((F.col(f"_v{i}") > 0).cast("bigint")), F.lit(0)).alias("p")).scalar().alias("positive"), "shared", "overlap", cor.select("spearman").scalar().alias("spearman")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def score_grid(scored: DataFrame, chance: str, value: str, margins: list[float], costs: list[float]) -> DataFrame:
     """(margin, cost, positive, total) of chance * value * margin - cost over a grid: rows are unfolded to the grid in their
     task and folded there again, so only one row a cell leaves it."""

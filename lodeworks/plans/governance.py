@@ -65,6 +65,15 @@ def assumptions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ASSUMPTIONS, "id string, name string, value double, unit string, basis string")
 
 
+def anchored(register: DataFrame, id: str, newest: DataFrame, value: str, order: str, source: str) -> DataFrame:
+    """The register with one assumption taken from the newest row of a table (greatest ``order``), its basis saying from which
+    ``source``; as it was where the table has none."""
+    last = newest.where(F.col(value).isNotNull()).agg(F.max(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))).alias("m"))
+    v, o = last.select("m.v").scalar(), last.select(F.col("m.o").cast("string")).scalar()
+    mine = (F.col("id") == id) & v.isNotNull()
+    return register.withColumn("basis", F.when(mine, F.concat(F.lit(f"{source}, "), o)).otherwise(F.col("basis"))).withColumn("value", F.when(mine, v).otherwise(F.col("value")))
+
+
 @dataclass
 class Step:
     name: str
@@ -79,11 +88,12 @@ class Pipeline:
     steps: list[Step]
     failed: dict[str, str] = field(default_factory=dict)
 
-    def run(self, state: dict, start: str | None = None, only: list[str] | None = None) -> dict:
+    def run(self, state: dict, start: str | None = None, only: list[str] | None = None, skip: tuple[str, ...] = (), force: bool = False) -> dict:
+        """From ``start`` on, or ``only`` some steps, leaving out ``skip``; a step whose table is in ``state`` already runs only by ``force``."""
         names = [s.name for s in self.steps]
         begin = names.index(start) if start else 0
         for s in self.steps[begin:]:
-            if only and s.name not in only:
+            if only and s.name not in only or s.name in skip or s.name in state and not force:
                 continue
             try:
                 state[s.name] = s.run(state)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodeworks.functions.values import to_number
+from lodeworks.sources.shared import Files
 
 
 def _members(where: str, content: bytes, zipped: bool) -> Iterator[tuple[str, io.TextIOBase]]:
@@ -81,9 +82,12 @@ def delimited(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return raw.select(*[F.trim(c).alias(c) for c in columns])
 
 
-def json_document(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """One JSON document a file."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def json_document(spark: SparkSession, path: str, schema: StructType | str, default: str | None = None, lines: bool = False) -> DataFrame:
+    """One JSON document a file (or, with ``lines``, a line); where there is no file, the ``default`` document, or else no row."""
+    if not Files(spark, path).exists(path):
+        given = spark.createDataFrame([(default,)] if default is not None else [], "j string")
+        return given.select(F.from_json("j", schema if isinstance(schema, str) else schema.json()).alias("d")).select("d.*")
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def snapshots(spark: SparkSession, path: str, wanted: list[str], needed: list[str], zipped: bool = False) -> DataFrame:
