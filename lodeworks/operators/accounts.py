@@ -17,19 +17,24 @@ def months_idle(last: Column, as_of: date, month_days: float = 30.4375) -> Colum
 
 
 def rollup(df: DataFrame, account: str, when: str, amount: str, modes: list[str], distinct: dict[str, str], masks: dict[str, Column], as_of: date) -> DataFrame:
-    """One row per non-null account from one aggregate: modes, dates, totals, distinct counts, totals under masks, recency.
+    """One row per non-null account: modes, dates, totals, distinct counts, totals under masks, recency.
 
     Totals are exact and 0.0 where nothing is summed. A mode is the smallest among equals and null where all are null.
+
+    Scale: no row is expanded. Each distinct count folds to (account, value) first, and the modes and totals are one aggregate;
+    the sides, one row an account each, then meet by account.
     """
-    out = df.where(F.col(account).isNotNull()).groupBy(account).agg(
+    rows = df.where(F.col(account).isNotNull())
+    out = rows.groupBy(account).agg(
         *[mode(F.col(m)).alias(m) for m in modes],
         F.min(F.to_date(when)).alias("first_day"),
         F.max(F.to_date(when)).alias("last_day"),
         F.count("*").alias("awards"),
         exact_sum(F.col(amount)).alias("total"),
-        *[F.countDistinct(c).alias(n) for n, c in distinct.items()],
         *[exact_sum(F.when(m, F.col(amount))).alias(n) for n, m in masks.items()],
     )
+    for n, c in distinct.items():
+        out = out.join(rows.select(account, c).distinct().groupBy(account).agg(F.count(c).alias(n)), account)
     idle = months_idle(F.col("last_day"), as_of)
     return out.withColumn("months_idle", idle).withColumn("dormant", idle >= 24).withColumn("tenure_years", F.bround(F.datediff("last_day", "first_day") / F.lit(365.25), 2)).withColumn("mean_amount", ratio(F.col("total"), F.col("awards")))
 

@@ -24,10 +24,10 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 
 
 def keep_latest(df: DataFrame, key: Column, latest: str, row_id: str) -> DataFrame:
-    """One whole row per non-null key: greatest ``latest`` (null smallest), then smallest ``row_id``. A two-phase aggregate
-    of ids, so that no key's rows meet in one task."""
-    best = df.select(key.alias("k"), F.struct(F.col(latest).alias("l"), (-F.col(row_id)).alias("i")).alias("s")).where("k is not null").groupBy("k").agg(F.max("s").alias("s"))
-    return df.join(best.select((-F.col("s.i")).alias(row_id)), row_id, "left_semi")
+    """One whole row per non-null key: greatest ``latest`` (null smallest), then smallest ``row_id``. One aggregate that keeps the
+    best row of each key in a task before it shuffles, so rows travel once and a hot key leaves one a task."""
+    rows = df.select(key.alias("k"), F.struct(F.col(latest).alias("l"), (-F.col(row_id)).alias("i")).alias("s"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("r")).where("k is not null")
+    return rows.groupBy("k").agg(F.max_by("r", "s").alias("r")).select("r.*")
 
 
 def missingness(df: DataFrame, columns: list[str], by: str) -> DataFrame:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Folders of local sessions, by application.
+#: Folders of local sessions, by application; they go when the process ends.
 _LOCAL: dict[str, str] = {}
+#: Paths made within the scopes that are open, the innermost last.
+_SCOPES: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,14 +26,34 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = spark.sparkContext.applicationId
         if own not in _LOCAL:
-            _LOCAL[own] = "file://" + tempfile.mkdtemp(prefix="lodeworks-")
+            made = tempfile.mkdtemp(prefix="lodeworks-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            _LOCAL[own] = "file://" + made
         place = _LOCAL[own]
     return place.rstrip("/")
 
 
 def fresh(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for s in _SCOPES[-1:]:
+        s.append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that were settled within are deleted at its end: read or write the results inside.
+
+    Without a scope they stay in the shared folder, since a result may be read as long as its session lives; only the
+    folder of a local session without ``spark.checkpoint.dir`` goes by itself, with the process.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            Files(spark, path).delete(path)
 
 
 def settle(df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:
