@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,6 +82,17 @@ def bucket(c: Column, edges: list[float], labels: list[str] | None = None, right
     return out
 
 
+def two_sided(name: Column, words: dict[str, list[str]], code: Column, codes: dict[str, tuple[str, ...]], default: str = "unknown") -> Column:
+    """One of two labels: that of the words which stand in the name, if those of the other don't; else that of the code; else
+    ``default``. A null name has no words, a null code no label."""
+    (a, b), upper = words, F.upper(name)
+    has = {k: F.coalesce(reduce(lambda p, q: p | q, [upper.contains(w) for w in ws]), F.lit(False)) for k, ws in words.items()}
+    out = F.when(has[a] & ~has[b], a).when(has[b] & ~has[a], b)
+    for label, values in codes.items():
+        out = out.when(code.isin(*values), label)
+    return out.otherwise(default)
+
+
 def mode(c: Column) -> Column:
     """Most frequent non-null value of a group, the smallest among equals."""
     return F.mode(c, True)

@@ -67,6 +67,12 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
     return df.sparkSession.range(1).select(*[cells[name].alias(name) for name in wanted])
 
 
+def capped(df: DataFrame, order: list[str], cap: int) -> DataFrame:
+    """The first ``cap`` rows in an order for a page, each with ``total`` and whether some were left out. The cap is the feature."""
+    total = df.agg(F.count("*").alias("n")).scalar()
+    return df.orderBy(*order).limit(cap).select("*", total.alias("total"), (total > cap).alias("capped"))
+
+
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n) of the keys that stand more than once."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

@@ -54,7 +54,7 @@ def tree_aggregate(df: DataFrame, keys: list[str], leaf: dict[str, Column], merg
     return state
 
 
-def key_totals(df: DataFrame, fields: list[str], amount: str, when: str, fan_in: int = 8, rounds: int | None = None) -> DataFrame:
+def key_totals(df: DataFrame, fields: list[str], amount: str, when: str, fan_in: int = 4, rounds: int | None = None) -> DataFrame:
     """(field_name, key_value, n, total, first_at, last_at) of every value of every field, null included.
 
     ``total`` sums non-null amounts exactly (NaN and infinities count as null) and is 0.0 where there are none; the dates

@@ -11,25 +11,86 @@ from pyspark.sql import functions as F
 # Kinds of origin, in the order in which they are looked for.
 TAGS = ["SOURCED", "DERIVED", "GENERATED", "ASSUMED"]
 
-#: (table, field, tags, how) of the tables this engine makes.
+#: Table, field, tags and how each came about, of the tables that this engine makes.
 FIELDS = [
-    ("accounts", "account_id", "SOURCED", "awarding office as delivered"),
-    ("accounts", "sub_agency", "DERIVED from SOURCED", "most frequent value, smallest among equals"),
-    ("accounts", "total", "DERIVED", "exact sum of award amounts"),
-    ("accounts", "awards", "DERIVED", "count of awards"),
-    ("accounts", "first_day", "DERIVED", "earliest obligation date"),
-    ("accounts", "last_day", "DERIVED", "latest obligation date"),
-    ("accounts", "months_idle", "DERIVED, ASSUMED length of a month", "days to the as-of date by 30.4375"),
-    ("accounts", "peer_group", "DERIVED", "segment and fifth of size"),
-    ("coverage", "covered", "DERIVED, ASSUMED window", "a maintenance award within the window"),
-    ("clusters", "cluster", "DERIVED, ASSUMED span", "greedy clusters of expiries"),
-    ("episodes", "day", "SOURCED", "obligation date"),
-    ("episodes", "mean_gap", "DERIVED", "span by gaps so far"),
-    ("survival", "chance", "DERIVED", "proportional hazards"),
-    ("telemetry", "utilisation", "GENERATED", "seeded walk and wave"),
-    ("cases", "severity", "GENERATED", "seeded draw"),
-    ("ranking", "margin", "ASSUMED", "grid of margins"),
-    ("ranking", "cost", "ASSUMED", "grid of costs"),
+    (*name.split(), tags.strip(), how.strip())
+    for name, tags, how in (
+        line.split("|")
+        for line in """
+accounts account_id | SOURCED | awarding office as delivered
+accounts segment | DERIVED from SOURCED | most frequent value, smallest among equals
+accounts total | DERIVED | exact sum of award amounts
+accounts assets | DERIVED | hardware awards
+accounts covered_assets | DERIVED, ASSUMED window | hardware awards with a maintenance award near
+accounts uncovered_assets | DERIVED, ASSUMED window | the others
+accounts coverage_rate | DERIVED, ASSUMED window | covered by all
+accounts expiring | DERIVED, ASSUMED look-ahead | awards that end within the look-ahead
+accounts expiring_value | DERIVED, ASSUMED look-ahead | their exact sum
+accounts next_expiry | SOURCED | earliest of their ends
+accounts in_cluster | DERIVED, ASSUMED span | whether any ends in a cluster of several
+accounts gaps | DERIVED, ASSUMED floor | codes that most peers buy and the account doesn't
+cohorts cohort_fy | DERIVED | fiscal year of the first award
+cohorts accounts | DERIVED | accounts of the cohort
+cohorts dormant | DERIVED, ASSUMED months | accounts idle for so many months
+cohorts fy | DERIVED | fiscal year
+cohorts active | DERIVED | accounts of the cohort with an award in it
+cohorts rate | DERIVED | active by accounts
+clusters account_id | SOURCED | awarding office
+clusters cluster | DERIVED, ASSUMED span | greedy clusters of ends, in order
+clusters size | DERIVED | awards
+clusters vendors | DERIVED | distinct recipients
+clusters total | DERIVED | exact sum of amounts
+clusters first_day | SOURCED | earliest end
+clusters last_day | SOURCED | latest end
+clusters span_days | DERIVED | days between
+episodes account | SOURCED | awarding office
+episodes day | SOURCED | obligation date
+episodes ordinal | DERIVED | number of the episode
+episodes running_total | DERIVED | amounts so far
+episodes gap_before | DERIVED | days since the episode before
+episodes tenure_years | DERIVED, ASSUMED length of a year | since the first
+episodes mean_gap | DERIVED | span by gaps so far, the typical one for a first episode
+episodes vendors_so_far | DERIVED | distinct recipients so far
+episodes maint_share | DERIVED | share of episodes with maintenance
+episodes log_total | DERIVED | logarithm of the running total
+chances account | SOURCED | awarding office
+chances elapsed | DERIVED | days since the last episode
+chances chance | DERIVED | proportional hazards, given the days since
+plays entity | SOURCED | awarding office
+plays code | DERIVED | the rule that fired
+plays priority | ASSUMED | order of the rules
+plays provenance | DERIVED | origin of the rule's input
+plays detail | DERIVED | what fired it, in words
+plays evidence | SOURCED | first awards that fired it
+plays evidence_count | DERIVED | their number
+plays value | DERIVED | their exact sum
+actions entity | SOURCED | awarding office
+actions action | DERIVED | rule of the smallest priority number that is not generated
+actions codes | DERIVED | all rules that fired
+actions fired | DERIVED | their number
+grid margin | ASSUMED | grid of margins
+grid cost | ASSUMED | grid of costs
+grid positive | DERIVED, ASSUMED margin and cost | accounts worth more than they cost
+grid total | DERIVED, ASSUMED margin and cost | their sum
+flows key | SOURCED | prime award
+flows subs | DERIVED | subawards
+flows numbers | DERIVED | distinct subaward numbers
+flows subawardees | DERIVED | distinct parties
+flows flow | DERIVED | exact sum of subawards
+flows award_id_piid | SOURCED | the prime's identifier
+flows recipient_uei | SOURCED | the prime's recipient
+flows product_or_service_code | SOURCED | the prime's code
+flows awarding_office_code | SOURCED | the prime's office
+telemetry account_id | SOURCED | awarding office
+telemetry month | GENERATED | month of the frame
+telemetry utilisation | GENERATED | seeded walk and wave
+telemetry provenance | GENERATED | the tag itself
+cases account_id | SOURCED | awarding office
+cases case_no | GENERATED | number of the case
+cases severity | GENERATED | seeded draw by share
+cases hours | GENERATED | seeded gamma time
+""".strip().splitlines()
+    )
 ]
 
 #: (id, name, value, unit, basis) of what is assumed.

@@ -93,7 +93,7 @@ def j6_composite_lookup(spark, sf):
 @query(
     "SELECT contract_award_unique_key, nullif(concat_ws('|', trim(coalesce(account_id, '')), trim(coalesce(psc_code, '')), coalesce(CAST(award_fy AS VARCHAR), '')), '||') AS key FROM contracts"
 )
-def p21_joined_key(spark, sf):
+def joined_key(spark, sf):
     return table(spark, sf, "contracts").select("contract_award_unique_key", conform.joined_key(F.col("account_id"), F.col("psc_code"), F.col("award_fy")).alias("key"))
 
 
@@ -109,7 +109,7 @@ def uf_first_seen(spark, sf):
 x AS (SELECT account_id, count(*) AS n_new FROM contracts WHERE account_id IS NOT NULL AND base_obligation_date >= TIMESTAMP '2022-01-01' GROUP BY 1)
 SELECT w.account_id, n_old, x.n_new FROM w LEFT JOIN x USING (account_id)"""
 )
-def p24_suffixed(spark, sf):
+def suffixed_sides(spark, sf):
     """The same counts of two periods side by side, told apart by suffixes."""
     c = table(spark, sf, "contracts").where("account_id is not null")
     cut = F.lit("2022-01-01").cast("timestamp_ntz")
@@ -117,6 +117,31 @@ def p24_suffixed(spark, sf):
     return n(c.where(F.col("base_obligation_date") < cut), "_old").join(n(c.where(F.col("base_obligation_date") >= cut), "_new"), "account_id", "left")
 
 
+_DIRECT, _PARTNER = ("9", "7"), ("R", "D", "M")
+
+
+@query(
+    f"""WITH k AS (SELECT contract_award_unique_key, upper(substr(trim(psc_code), 1, 1)) AS s, upper(sub_agency) AS n FROM contracts),
+t AS (SELECT *, coalesce(n LIKE '%FLEET%' OR n LIKE '%COMMAND%', false) AS maker, coalesce(n LIKE '%OFFICE%' OR n LIKE '%SERVICE%' OR n LIKE '%COMMAND%', false) AS seller FROM k)
+SELECT contract_award_unique_key, CASE WHEN seller AND NOT maker THEN 'partner' WHEN maker AND NOT seller THEN 'direct' WHEN s IN {_DIRECT} THEN 'direct' WHEN s IN {_PARTNER} THEN 'partner' ELSE 'unknown' END AS side FROM t"""
+)
+def two_sided_rule(spark, sf):
+    """A code's sector decides, unless words of one side alone stand in the name."""
+    c = table(spark, sf, "contracts")
+    side = v.two_sided(F.col("sub_agency"), {"partner": ["OFFICE", "SERVICE", "COMMAND"], "direct": ["FLEET", "COMMAND"]}, F.substring(F.upper(F.trim("psc_code")), 1, 1), {"direct": _DIRECT, "partner": _PARTNER})
+    return c.select("contract_award_unique_key", side.alias("side"))
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT recipient_parent_name, recipient_name_raw FROM awards_raw WHERE recipient_parent_name IS NOT NULL AND recipient_name_raw IS NOT NULL)
+SELECT *, (SELECT count(*) FROM d) AS total, (SELECT count(*) FROM d) > 200 AS capped FROM d ORDER BY recipient_parent_name, recipient_name_raw LIMIT 200"""
+)
+def uc_capped_pairs(spark, sf):
+    """Distinct pairs of names, the first 200 of them for a page, with how many there are."""
+    d = table(spark, sf, "awards_raw").where("recipient_parent_name is not null and recipient_name_raw is not null").select("recipient_parent_name", "recipient_name_raw").distinct()
+    return conform.capped(d, ["recipient_parent_name", "recipient_name_raw"], 200)
+
+
 # accounts
 
 
