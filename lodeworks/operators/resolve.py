@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.functions.names import normal_name, token_set_ratio
@@ -21,23 +21,48 @@ def most_common(df: DataFrame, key: str, value: str, order: str, name: str) -> D
     return counts.groupBy(key).agg(F.max_by(value, F.struct("n", (-F.col("p")).alias("p"))).alias(name))
 
 
+def _words(df: DataFrame, i: str) -> DataFrame:
+    return df.select(F.col("id").alias(i), F.explode(F.array_distinct(F.split("norm", " "))).alias("w"))
+
+
+def sharing_rare_words(asked: DataFrame, known: DataFrame, most: int = 400) -> DataFrame:
+    """(a, b): ids of asked and known names (id, norm) that share a word which at most ``most`` known names have."""
+    held = _words(known, "b")
+    rare = held.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") <= most)
+    return _words(asked, "a").join(held.join(rare.select("w"), "w"), "w").select("a", "b").distinct()
+
+
+def _cut(w: Column) -> Column:
+    """A word, and the word without each of its letters."""
+    shorter = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    return F.explode(F.array_distinct(F.concat(F.array(w), shorter)))
+
+
 def candidates(asked: DataFrame, known: DataFrame, most: int = 400) -> DataFrame:
-    """(a, b): ids of asked and known names (id, norm) that share a word which at most ``most`` known names have.
+    """(a, b): ids of asked and known names (id, norm) that are worth comparing.
 
-    Words that more names have say little and would pair names by the million; a name of such words only is compared with
-    those known names of such words that have the same two rarest ones."""
-    words = lambda df, i: df.select(F.col("id").alias(i), F.explode(F.array_distinct(F.split("norm", " "))).alias("w"))
-    held = words(known, "b")
+    They share a word which at most ``most`` known names have, or the asked name has a word that no known name has, of four letters
+    or more, and the known name one of those rare words that is one letter more, less or other. Words that more names have
+    say little and would pair names by the million; a name without a rare word is compared with those known names, also
+    without one, that have the same two rarest of such words, whether or not it has unknown words besides.
+    """
+    held = _words(known, "b")
     counts = held.groupBy("w").agg(F.count("*").alias("n"))
-    rare = held.join(counts.where(F.col("n") <= most), "w").select("w", "b")
-    one = words(asked, "a").join(rare, "w").select("a", "b")
+    rare = counts.where(F.col("n") <= most).select("w")
+    by_word = sharing_rare_words(asked, known, most)
+
+    unknown = _words(asked, "a").where(F.length("w") >= 4).join(counts.select("w"), "w", "left_anti")
+    keys = unknown.select("w").distinct().select(F.col("w").alias("u"), _cut(F.col("w")).alias("key"))
+    near = keys.join(rare.where(F.length("w") >= 4).select("w", _cut(F.col("w")).alias("key")), "key").where(F.levenshtein("u", "w", 1) >= 0).select("u", "w").distinct()
+    by_letter = unknown.withColumnRenamed("w", "u").join(near, "u").join(held, "w").select("a", "b")
 
     def two(df: DataFrame, i: str) -> DataFrame:
         """The pair of its rarest words, of names that have no rare word."""
-        w = words(df, i).join(counts, "w", "left").groupBy(i).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))).alias("s"))
+        w = _words(df, i).join(counts, "w").groupBy(i).agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("s"))
         return w.where((F.size("s") > 1) & (F.get("s", F.lit(0))["n"] > most)).select(i, F.array_sort(F.array(F.get("s", F.lit(0))["w"], F.get("s", F.lit(1))["w"])).alias("ww"))
 
-    return one.unionByName(two(asked, "a").join(two(known, "b"), "ww").select("a", "b")).distinct()
+    by_pair = two(asked, "a").join(two(known, "b"), "ww").select("a", "b")
+    return by_word.unionByName(by_letter).unionByName(by_pair).distinct()
 
 
 def match_names(asked: DataFrame, known: DataFrame, least: float = 0.92, margin: float = 0.02, most: int = 400) -> DataFrame:

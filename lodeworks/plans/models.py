@@ -71,7 +71,33 @@ def u4_graded(spark, sf):
     return resolve.graded(flagged, table(spark, sf, "awards_raw"), "recipient_uei", "recipient_parent_uei")
 
 
-_OFFICE = "trim(coalesce(awarding_agency_name, '')), trim(coalesce(awarding_sub_agency_code, '')), trim(coalesce(awarding_office_code, ''))"
+_ASKED = f"""{r._NORM}, seen AS (SELECT norm, recipient_uei, min(raw_row_id) AS id FROM awards_raw JOIN norms ON recipient_name_raw = name WHERE norm IS NOT NULL GROUP BY 1, 2),
+kn AS (SELECT norm, recipient_uei, id FROM seen WHERE recipient_uei IS NOT NULL), ask AS (SELECT norm, id FROM seen WHERE recipient_uei IS NULL)"""
+
+
+def _asked_and_known(spark, sf):
+    raw = resolve.with_norms(table(spark, sf, "awards_raw").groupBy("recipient_name_raw", "recipient_uei").agg(F.min("raw_row_id").alias("id")), "recipient_name_raw").where("norm is not null")
+    return raw.where("recipient_uei is null").groupBy("norm").agg(F.min("id").alias("id")), raw.where("recipient_uei is not null").groupBy("norm", F.col("recipient_uei").alias("entity")).agg(F.min("id").alias("id"))
+
+
+@query(
+    f"""WITH {_ASKED}, kw AS (SELECT DISTINCT id, unnest(string_split(norm, ' ')) AS w FROM kn), aw AS (SELECT DISTINCT id, unnest(string_split(norm, ' ')) AS w FROM ask),
+rare AS (SELECT w FROM kw GROUP BY 1 HAVING count(*) <= 20) SELECT DISTINCT aw.id AS a, kw.id AS b FROM aw JOIN rare USING (w) JOIN kw USING (w)"""
+)
+def j15_blocked_pairs(spark, sf):
+    """Names without an identifier and those with one that share a word which at most twenty have."""
+    asked, known = _asked_and_known(spark, sf)
+    return resolve.sharing_rare_words(asked, known, 20)
+
+
+@query(
+    f"""WITH {_ASKED} SELECT ask.id, CASE WHEN count(DISTINCT recipient_uei) = 1 THEN min(recipient_uei) END AS entity, CASE WHEN count(DISTINCT recipient_uei) = 1 THEN 'exact' ELSE 'ambiguous' END AS outcome
+FROM ask JOIN kn ON ask.norm = kn.norm GROUP BY 1"""
+)
+def u2_exact_names(spark, sf):
+    """Outcomes of the resolver where a name has the very normal form of a known one."""
+    asked, known = _asked_and_known(spark, sf)
+    return resolve.match_names(asked, known).where("score = 1.0").join(asked.join(known, "norm", "left_semi").select("id"), "id", "left_semi").select("id", "entity", "outcome")
 
 
 @query(
@@ -300,15 +326,6 @@ def _valued(spark, sf):
     return r._scored(spark, sf).join(value, "account")
 
 
-@query(
-    f"""WITH {r._SCORED}, {_VALUE}, ev AS (SELECT m AS margin, c AS cost, p * med * m - c AS x FROM scored JOIN va USING (account), (SELECT unnest({r._MARGINS}) AS m), (SELECT unnest({r._COSTS}) AS c) WHERE p IS NOT NULL AND med IS NOT NULL)
-SELECT CAST(margin AS DOUBLE) AS margin, CAST(cost AS DOUBLE) AS cost, CAST(sum(CASE WHEN x > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive, round(CAST(sum(CASE WHEN x > 0 THEN CAST(x AS DECIMAL(28,6)) END) AS DOUBLE), 2) AS total FROM ev GROUP BY 1, 2"""
-)
-def u12_grid(spark, sf):
-    """The grid of margins and costs, totals to the cent."""
-    return rules.score_grid(_valued(spark, sf), "p", "med", r._MARGINS, r._COSTS).withColumn("total", F.round("total", 2))
-
-
 _OTHER = {"chance_of_frequency": "past / (past + 5.0) * med * 0.65 - 12000", "mean_value": "p * coalesce(mean, med) * 0.65 - 12000"}
 
 

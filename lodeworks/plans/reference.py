@@ -704,7 +704,14 @@ def t3_top_overlap(spark, sf):
 _MARGINS, _COSTS = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8], [4000.0, 8000.0, 12000.0, 20000.0, 40000.0]
 
 
-@query()
+_VALUE = "va AS (SELECT account_id AS account, median(award_amount) AS med FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY base_obligation_date DESC, contract_award_unique_key) AS rn FROM contracts WHERE account_id IS NOT NULL AND base_obligation_date IS NOT NULL) WHERE rn <= 5 GROUP BY 1)"
+
+
+@query(
+    f"""WITH {_SCORED}, {_VALUE}, ev AS (SELECT CAST(m AS DOUBLE) AS margin, CAST(c AS DOUBLE) AS cost, p * med * CAST(m AS DOUBLE) - CAST(c AS DOUBLE) AS x
+  FROM scored JOIN va USING (account), (SELECT unnest({_MARGINS}) AS m), (SELECT unnest({_COSTS}) AS c) WHERE p IS NOT NULL AND med IS NOT NULL)
+SELECT margin, cost, CAST(sum(CASE WHEN x > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive, CAST(sum(CASE WHEN x > 0 THEN CAST(x AS DECIMAL(28,6)) END) AS DOUBLE) AS total FROM ev GROUP BY 1, 2"""
+)
 def u12_score_grid(spark, sf):
     value = a9_last_awards(spark, sf).select(F.col("account_id").alias("account"), F.col("med").alias("value"))
     return rules.score_grid(_scored(spark, sf).join(value, "account"), "p", "value", _MARGINS, _COSTS)

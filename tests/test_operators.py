@@ -227,6 +227,14 @@ def test_resolver_outcomes(spark):
     assert got == {11: ("E1", "exact"), 12: (None, "ambiguous"), 13: ("E1", "fuzzy"), 14: (None, "ambiguous"), 15: (None, "unresolved")}
 
 
+def test_misspelled_and_common_words_get_candidates(spark):
+    """An unknown word meets rare ones a letter away; names of common words meet by the two rarest, unknown words or not."""
+    known = [(i, "SYSTEMS GROUP") for i in range(6)] + [(10, "ACME SYSTEMS"), (11, "GLOBAL SYSTEMS GROUP"), (12, "ZENITH")]
+    asked = [(100, "ACMEE SYSTEMS"), (101, "QXWZK SYSTEMS GROUP"), (102, "ZENIT"), (103, "NOTHING LIKE IT"), (104, "ACM")]
+    got = {tuple(r) for r in resolve.candidates(spark.createDataFrame(asked, "id int, norm string"), spark.createDataFrame(known, "id int, norm string"), most=3).collect()}
+    assert got == {(100, 10), (102, 12)} | {(101, i) for i in range(6)}
+
+
 def test_rules_and_actions(spark):
     c = spark.createDataFrame([("A", f"id{i:02}", float(i)) for i in range(20)] + [("B", "x", 5.0), (None, "y", 1.0)], "acct string, id string, x double")
     mk = lambda code, pri, trig, tag="DERIVED": rules.Rule(code, pri, c, "acct", trig, "id", F.col("x"), F.lit("a long enough text"), tag)
