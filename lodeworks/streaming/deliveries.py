@@ -4,8 +4,8 @@ A stream's micro-batches are merged into a keyed state of the best row seen so f
 writes one run, of the keys that it touches, and never rewrites what earlier ones wrote. As states of a key merge by maximum,
 a look-up takes the greatest of all runs, and runs of one size are merged into one when there are so many. A run that lies
 wholly behind the watermark moves from the hot runs to the archive, in which arrivals of keys that are not hot are looked
-up, so that expiry never lets a copy through. A micro-batch writes its output and its run first and one small commit file
-last; readers believe the commit files only, and a batch that is run again writes the same places.
+up, so that expiry never lets a copy through. A micro-batch writes its output along with its run, in one job, and one small
+commit file last; readers believe the commit files only, and a batch that is run again writes the same places.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from lodeworks.sources.shared import Files, fresh
 
+#: The part of a batch's run that is its output, beside the parts by key.
+SURPLUS = -1
 #: What a micro-batch reads of files at most.
 BATCH_BYTES = 64 << 30
 
@@ -46,7 +48,7 @@ class DeliveryStore:
     #: runs of one level that are merged into one of the next
     fan_in: int = 4
     #: parts of a run by key, of which look-ups read those they need
-    buckets: int = 16
+    buckets: int = 8
 
     def __post_init__(self) -> None:
         self.files = Files(self.spark, self.root)
@@ -70,7 +72,7 @@ class DeliveryStore:
         """(k, b, best, seen) of some runs, of the touched buckets only."""
         schema = f"k string, best {like.schema['best'].dataType.simpleString()}, seen timestamp_ntz, run string, b int"
         df = spark.read.schema(schema).option("basePath", f"{self.root}/runs").parquet(*[self._place(r["id"]) for r in runs])
-        return (df if touched is None else df.where(F.col("b").isin(touched))).select("k", "b", "best", "seen")
+        return df.where(F.col("b") != SURPLUS if touched is None else F.col("b").isin(touched)).select("k", "b", "best", "seen")
 
     def _write(self, df: DataFrame, run: str) -> None:
         df.hint("rebalance", "b").write.mode("overwrite").partitionBy("b").parquet(self._place(run))
@@ -106,12 +108,12 @@ class DeliveryStore:
         prior, late = self._prior(rows, last, n)
         candidates = rows if prior is None else rows.unionByName(prior)
         seen, run = Observation(), {"id": f"b{n}", "level": 0}
-        self._write(self._folded(candidates).observe(seen, F.max("seen").cast("string").alias("latest"), F.count("*").alias("keys")), run["id"])
+        best = self._folded(candidates).select("k", F.col("best").alias("top"), F.col("seen").alias("last"))
+        stays = F.col("best") == F.col("top")
+        told = candidates.join(best, "k").select("k", F.when(stays, F.col("b")).otherwise(SURPLUS).alias("b"), "best", F.when(stays, F.col("last")).alias("seen"))
+        kept = F.col("b") != SURPLUS
+        self._write(told.observe(seen, F.max(F.when(kept, F.col("seen"))).cast("string").alias("latest"), F.count_if(kept).alias("keys"), F.count_if(~kept).alias("surplus")), run["id"])
         run["latest"] = seen.get["latest"]
-        row = (-F.col("best.neg")).alias(self.row_id)
-        surplus = candidates.select(row).join(self._read(spark, rows, [run]).select(row), self.row_id, "left_anti")
-        surplus.write.mode("overwrite").parquet(f"{self.root}/out/{n}")
-
         latest = max(filter(None, [run["latest"], last["latest"]]), default=None)
         mark = (datetime.fromisoformat(latest) - timedelta(days=self.expiry_days)) if latest else None
         hot, gone = [*last["hot"], run], []
@@ -121,10 +123,12 @@ class DeliveryStore:
         archive = [*last["archive"], *gone]
         hot, old = self._compacted(rows, hot, f"h{n}")
         archive, older = self._compacted(rows, archive, f"a{n}")
-        commit = {"hot": hot, "archive": archive, "latest": latest, "keys": int(seen.get["keys"]), "late": late, "dropped": old + older}
+        commit = {"hot": hot, "archive": archive, "latest": latest, "keys": int(seen.get["keys"]), "surplus": int(seen.get["surplus"]), "late": late, "dropped": old + older}
         self.files.write_once(f"{self.root}/commits/{n}.json", json.dumps(commit))
         for r in last["dropped"]:  # no batch can be run again that still needs them
-            self.files.delete(self._place(r))
+            for part in self.files.names(self._place(r)):
+                if part != f"b={SURPLUS}":
+                    self.files.delete(f"{self._place(r)}/{part}")
         self.files.delete(f"{self.root}/prior/{n}")
 
     def _compacted(self, like: DataFrame, runs: list[dict], name: str) -> tuple[list[dict], list[str]]:
@@ -151,8 +155,10 @@ class DeliveryStore:
 
     def surplus(self) -> DataFrame:
         """(row_id) of all surplus rows of the committed batches."""
-        parts = [f"{self.root}/out/{n}" for n in self.committed()]
-        return self.spark.read.schema(f"`{self.row_id}` bigint").parquet(*parts) if parts else self.spark.createDataFrame([], f"`{self.row_id}` bigint")
+        parts = [f"{self._place(f'b{n}')}/b={SURPLUS}" for n in self.committed() if self.commit_of(n)["surplus"]]
+        if not parts:
+            return self.spark.createDataFrame([], f"`{self.row_id}` bigint")
+        return self.spark.read.schema("best struct<neg: bigint>").parquet(*parts).select((-F.col("best.neg")).alias(self.row_id))
 
 
 def _store(spark: SparkSession, key: str, rank: str, row_id: str, event_time: str, expiry_days: int) -> DeliveryStore:
