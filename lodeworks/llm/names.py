@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import permutations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -401,15 +401,14 @@ def _reader(lines: Lines) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
     return read_all
 
 
-def learned_lines(spellings: DataFrame) -> Lines:
-    """What the distinct spellings (name) say of lines of business; the words and phrases that reach the driver are so many at most as
+def learned_lines(spellings: DataFrame, n: int) -> Lines:
+    """What the ``n`` distinct spellings (name) say of lines of business; the words and phrases that reach the driver are so many at most as
     the shares allow."""
     tokens = F.array_distinct(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"))
     rows = spellings.select(tokens.alias("ts"), F.arrays_overlap(tokens, F.array(*map(F.lit, LEGAL))).alias("legal"))
-    n = spellings.count()
     heard = rows.select(F.explode("ts").alias("w"), "legal").where(F.length("w") >= 3).groupBy("w").agg(F.count("*").alias("n"), F.avg(F.col("legal").cast("int")).alias("firms"))
     apart = [*LEGAL, *FILLERS, *TITLES, *GIVEN, "limited", "liability", "partnership", "doing", "business", "dba", "fka", "aka", "formerly", "known"]
-    often = (F.col("n") >= max(LEARNED_SHARE * n, LEARNED_LEAST)) & (F.col("firms") >= 0.5) & ~F.col("w").isin(apart)
+    often = (F.col("n") >= F.greatest(F.lit(LEARNED_SHARE * n), F.lit(LEARNED_LEAST))) & (F.col("firms") >= 0.5) & ~F.col("w").isin(apart)
     words = {r.w: r.n for r in heard.where(often | F.col("w").isin(LINE_WORDS)).select("w", "n").collect()}
     # what abbreviates a more frequent word is no word of its own
     words = {w: k for w, k in words.items() if w in LINE_WORDS or not any(m > k and (abbreviates(w, v) or len(w) >= 6 and osa(w, v, 1) == 1) for v, m in words.items())}
@@ -525,11 +524,11 @@ def linked_forms(forms: DataFrame) -> DataFrame:
     choice = scored.groupBy("id").agg(F.max(F.struct(-F.col("cost"), F.col("to_rank"))).alias("m"), F.collect_set(F.when(F.col("cost") <= F.col("least"), said)).alias("kinds"), F.max("form.biz").alias("biz"), F.max("form.a").alias("a"))
     parents = choice.where((F.size("kinds") <= 1) | (F.col("biz") != "")).select("id", F.col("m.to_rank.id").alias("parent"))
     links = settle(forms.select("id").join(parents, "id", "left").select("id", F.coalesce("parent", "id").alias("root")), "links")
-    while True:
-        up = links.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        further = settle(links.join(up, "root").select("id", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "links")
-        links = further.select("id", "root")
-        if not further.where("moved").limit(1).count():
+    while True:  # twice as far up the tree each time
+        up, moved = links.select(F.col("id").alias("root"), F.col("root").alias("next")), Observation()
+        further = links.join(up, "root").observe(moved, F.count_if(F.col("next") != F.col("root")).alias("n")).select("id", F.col("next").alias("root"))
+        links = settle(further, "links")
+        if not moved.get["n"]:
             return links
 
 
@@ -544,8 +543,9 @@ def entities(names: DataFrame, column: str = "name") -> DataFrame:
     anchors under their keys, so a key's work is its forms times its anchors, in blocks of CROWD anchors. A spelling with k
     tokens of n letters makes k * n index entries.
     """
-    distinct = settle(names.select(F.col(f"`{column}`").alias("name")).where("name is not null").distinct(), "spellings")
-    read = settle(distinct.mapInPandas(_reader(learned_lines(distinct)), "name string, " + FORM), "names").withColumn("id", F.concat_ws("|", "a", "b", "mid", "biz", "legal"))
+    seen = Observation()
+    distinct = settle(names.select(F.col(f"`{column}`").alias("name")).where("name is not null").distinct().observe(seen, F.count("*").alias("n")), "spellings")
+    read = settle(distinct.mapInPandas(_reader(learned_lines(distinct, seen.get["n"])), "name string, " + FORM), "names").withColumn("id", F.concat_ws("|", "a", "b", "mid", "biz", "legal"))
     forms = settle(read.groupBy("id", "a", "b", "mid", "biz", "legal").agg(F.count("*").alias("f")), "forms")
     return read.select("name", "id").join(linked_forms(forms), "id").select("name", "root")
 

@@ -87,7 +87,7 @@ def test_lines_one_letter_apart_are_different(spark):
 
 def test_lines_are_learned_from_the_table(spark):
     rows = [(f"{a}ostrade {b}uxvel Beekeeping Upholstery LLC",) for a in "BDFGK" for b in "LMNPR"] + [("Kestrel Inc",)]
-    lines = n.learned_lines(spark.createDataFrame(rows, "name string"))
+    lines = n.learned_lines(spark.createDataFrame(rows, "name string"), len(rows))
     assert {"beekeeping", "upholstery"} <= set(lines.words) and "kestrel" not in lines.words
     assert lines.phrases == {frozenset({"beekeeping", "upholstery"}): 25}
     assert n.read_name("Zostrade Quxvel Upholst. Bkpng LLC", lines)[3] == "beekeeping upholstery"
