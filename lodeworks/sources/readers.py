@@ -5,11 +5,11 @@ from __future__ import annotations
 import csv
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import date
-from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.csv as pacsv
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,38 +18,68 @@ from lodeworks.functions.values import to_number
 from lodeworks.sources.shared import Files
 
 
-def _members(where: str, content: bytes, zipped: bool) -> Iterator[tuple[str, io.TextIOBase]]:
-    """The CSV texts of a landed file: members of an archive, or the file itself."""
+#: Bytes of CSV that a task parses at a time; a longer row fails the read.
+BLOCK = 32 << 20
+
+
+def _members(where: str, content: bytes, zipped: bool) -> Iterator[tuple[str, Callable[[], io.BufferedIOBase]]]:
+    """The CSV files of a landed file, by name: members of an archive, or the file itself. Each is opened as often as needed."""
     if not zipped:
-        yield where.rsplit("/", 1)[-1], io.TextIOWrapper(io.BytesIO(content), "utf-8-sig", newline="")
+        yield where.rsplit("/", 1)[-1], lambda: io.BytesIO(content)
         return
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         for name in sorted(n for n in z.namelist() if n.lower().endswith(".csv")):
-            with z.open(name) as raw:
-                yield name, io.TextIOWrapper(raw, "utf-8-sig", newline="")
+            yield name, lambda name=name: z.open(name)
+
+
+def _header(raw: io.BufferedIOBase) -> list[str]:
+    with io.TextIOWrapper(raw, "utf-8-sig", newline="") as text:
+        return next(csv.reader(text), [])
+
+
+def _parsed(raw: io.BufferedIOBase, header: list[str], wanted: list[str]) -> Iterator[pa.RecordBatch]:
+    """The wanted columns as texts, by column; rows of more or fewer fields than the header has are read by themselves."""
+    odd: list[str] = []
+
+    def by_itself(row) -> str:
+        odd.append(row.text)
+        return "skip"
+
+    reader = pacsv.open_csv(
+        raw,
+        read_options=pacsv.ReadOptions(block_size=BLOCK, use_threads=False),
+        parse_options=pacsv.ParseOptions(newlines_in_values=True, invalid_row_handler=by_itself),
+        convert_options=pacsv.ConvertOptions(column_types=dict.fromkeys(header, pa.string()), include_columns=wanted, include_missing_columns=True, strings_can_be_null=True, null_values=[""]),
+    )
+    for b in reader:
+        yield pa.RecordBatch.from_arrays([c.cast(pa.string()) for c in b.columns], names=wanted)
+    if odd:
+        csv.field_size_limit(1 << 31)
+        rows = [dict(zip(header, r)) for r in csv.reader(odd)]
+        yield pa.RecordBatch.from_arrays([pa.array([r.get(c) or None for r in rows], pa.string()) for c in wanted], names=wanted)
 
 
 def _csv_files(spark: SparkSession, path: str, wanted: list[str], needed: list[str], zipped: bool) -> DataFrame:
     schema = ", ".join(f"`{c}` string" for c in wanted) + ", member string, path string"
 
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [*wanted, "member", "path"]
-        for f in frames:
-            for where, content in zip(f["path"], f["content"]):
-                for name, text in _members(where, content, zipped):
-                    reader = csv.DictReader(text)
-                    if not set(needed) <= set(reader.fieldnames or ()):
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
+            for where, content in zip(f["path"].to_pylist(), f["content"].to_pylist()):
+                for name, opened in _members(where, content, zipped):
+                    header = _header(opened())
+                    if not header or not set(needed) <= set(header):
                         continue
-                    while held := [[row.get(c) or None for c in wanted] + [name, where] for row in islice(reader, 20_000)]:
-                        yield pd.DataFrame(held, columns=columns, dtype=object)
+                    for b in _parsed(opened(), header, wanted):
+                        tell = lambda text, n=b.num_rows: pa.array([text] * n, pa.string())
+                        yield pa.RecordBatch.from_arrays([*b.columns, tell(name), tell(where)], names=[*wanted, "member", "path"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, schema)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(unpack, schema)
 
 
 def zipped_csv(spark: SparkSession, path: str, wanted: list[str], tag_pattern: str = r"([^/]+)$") -> DataFrame:
     """Rows of the CSV members of all archives under ``path``: the wanted columns as texts, null where a member lacks one,
-    with ``member``, and ``tag`` from the archive's name. A member is read row by row, line breaks within quotes included;
-    an archive is one task, so land archives of bounded size."""
+    with ``member``, and ``tag`` from the archive's name. Line breaks may stand within quotes; a row with fewer fields than the header
+    has nulls, one with more loses those. An archive is one task, so land archives of bounded size."""
     return _csv_files(spark, path, wanted, [], True).withColumn("tag", F.regexp_extract("path", tag_pattern, 1)).drop("path")
 
 

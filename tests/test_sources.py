@@ -20,6 +20,17 @@ def test_zipped_csv_with_line_breaks_and_missing_columns(spark, tmp_path):
     assert got == [("", "x", "naics_prime.csv", "naics"), ("1", 'two\nlines, "quoted"', "psc_prime.csv", "psc")]
 
 
+def test_zipped_csv_of_odd_rows(spark, tmp_path):
+    """Rows of other numbers of fields, a byte order mark, long fields, blank files and quoted blanks."""
+    long = "x" * 300_000
+    with zipfile.ZipFile(tmp_path / "pull_a.zip", "w") as z:
+        z.writestr("a.csv", "\ufeffid,name,note\n1,short\n2,much,too,long\n3,whole,ok\n4,\"\",\n" + f"5,{long},y\n")
+        z.writestr("b.csv", "")
+        z.writestr("c.csv", "id,name\n")
+    got = sorted(tuple(r) for r in readers.zipped_csv(spark, str(tmp_path), ["id", "name", "note"]).select("id", "name", "note").collect())
+    assert got == [("1", "short", None), ("2", "much", "too"), ("3", "whole", "ok"), ("4", None, None), ("5", long, "y")]
+
+
 def test_routed_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,x\n1,"a\nb"\n2,oops\n')
     (tmp_path / "b.csv").write_text("id,x\n3,c\n")
